@@ -88,10 +88,13 @@ def conformant_but_high_voltage(site: DataFrame, surplus_is_nonconformant: bool
 
     By default surplus rows count as conformant here, unlike in the conformance report.
     """
-    rows = voltvar_deviation(site, surplus_is_nonconformant=surplus_is_nonconformant)
-    hit = rows.where((F.col("V") > 253) & (F.col("deviation") == 0) & (F.col("Q_max") < 0))
-    return (_monthly(hit).groupBy("year", "month", "site_id")
-            .agg(F.countDistinct("t_stamp").alias("n_time")))
+    rows = voltvar_deviation(site.where(F.col("V") > 253), surplus_is_nonconformant=surplus_is_nonconformant)
+    # The condition is counted, not filtered on: a filter would be pushed below the band
+    # columns and repeat their whole definition at every reference.
+    hit = (F.col("deviation") == 0) & (F.col("Q_max") < 0)
+    rows = _monthly(rows).select("year", "month", "site_id", F.when(hit, F.col("t_stamp")).alias("hit_time"))
+    return (rows.groupBy("year", "month", "site_id").agg(F.countDistinct("hit_time").alias("n_time"))
+            .where(F.col("n_time") > 0))
 
 
 def deadband_irradiance_coverage(site: DataFrame, meta: DataFrame, solar: DataFrame,

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-from pvgrid.plans import conformance_queries  # noqa: F401  (registers its queries)
+from pvgrid.plans import (  # noqa: F401  (each module registers its queries)
+    conformance_queries,
+    impact_queries,
+)
 from pvgrid.plans.registry import QUERIES, SQL  # noqa: F401
