@@ -40,9 +40,19 @@ def wide_avg(x: Column) -> Column:
 
 
 def quantise(x: Column, digits: int = 6) -> Column:
-    """Round to a number of decimals, halves up, without leaving ``double``."""
+    """Round to a number of decimals, halves up, without leaving ``double``.
+
+    Values too large to have that many decimals are returned as they are.
+    """
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    scaled = x * F.lit(scale)
+    return (F.when(F.abs(scaled) < F.lit(2.0**53), F.floor(scaled + F.lit(0.5)) / F.lit(scale))
+            .otherwise(x))
+
+
+def rounded_sum(x: Column, digits: int = 6) -> Column:
+    """Sum of doubles without a known range (such as estimates), rounded at the end."""
+    return quantise(F.sum(x), digits)
 
 
 def _all_set(cols: tuple[Column, ...]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvgrid.functions.curves import TOLERANCE, apparent_power, voltwatt_limit
-from pvgrid.functions.exact import count_positive, exact_sum, strict_greatest, strict_least
+from pvgrid.functions.exact import count_positive, exact_sum, rounded_sum, strict_greatest, strict_least
 from pvgrid.functions.localtime import calendar, day_night
 from pvgrid.operators.response import response_bands
 from pvgrid.operators.site import high_voltage
@@ -65,7 +65,7 @@ def voltwatt_conformance_ghi(site: DataFrame, uncurtailed: DataFrame,
     return rows.groupBy("year", "month", "day", "site_id").agg(
         exact_sum(F.col("P_kW")).alias("P_kW_sum"),
         exact_sum(F.col("nonconf")).alias("nonconformance_voltwattghi_sum"),
-        exact_sum(F.col("curtailment")).alias("curtailment_voltwattghi_sum"),
+        rounded_sum(F.col("curtailment")).alias("curtailment_voltwattghi_sum"),
         count_positive(F.col("nonconf")).alias("nonconformance_voltwattghi_count"),
         count_positive(F.col("curtailment")).alias("curtailment_voltwattghi_count"),
         F.count("nonconf").alias("total_count"))
@@ -87,7 +87,7 @@ def voltwatt_curtailment(site: DataFrame, uncurtailed: DataFrame,
         **calendar(F.col("t_stamp"))})
     return rows.groupBy("year", "month", "day", "site_id").agg(
         exact_sum(F.col("excess")).alias("nonconformance_voltwattghi_sum"),
-        exact_sum(F.col("curtailment")).alias("curtailment_voltwattghi_sum"),
+        rounded_sum(F.col("curtailment")).alias("curtailment_voltwattghi_sum"),
         count_positive(F.col("excess")).alias("nonconformance_voltwattghi_count"),
         count_positive(F.col("curtailment")).alias("curtailment_voltwattghi_count"),
         F.count("excess").alias("total_count"))
@@ -144,11 +144,12 @@ def voltvar_conformance(site: DataFrame, uncurtailed: DataFrame | None = None,
         "day_night": day_night(F.col("t_stamp"), day_rule),
         "nonconformance_voltvar": F.col("deviation"),
         **calendar(F.col("t_stamp"))})
-    measures = ("nonconformance_voltvar", *VOLTVAR_CLASSES, "curtailment_voltvar")
+    measures = ("nonconformance_voltvar", *VOLTVAR_CLASSES)
     return rows.groupBy("year", "month", "day", "day_night", "site_id").agg(
         exact_sum(F.col("P_kW")).alias("P_kW_sum"),
         *[exact_sum(F.col(m)).alias(f"{m}_sum") for m in measures],
-        *[count_positive(F.col(m)).alias(f"{m}_count") for m in measures],
+        rounded_sum(F.col("curtailment_voltvar")).alias("curtailment_voltvar_sum"),
+        *[count_positive(F.col(m)).alias(f"{m}_count") for m in (*measures, "curtailment_voltvar")],
         F.count("nonconformance_voltvar").alias("total_count"))
 
 

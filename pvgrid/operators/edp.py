@@ -47,9 +47,9 @@ def process_edp(readings: DataFrame, ratings: DataFrame, offset_minutes: int = 5
         "Q_voltvar_max": F.col("Q_voltvar") + margin,
         "Q_voltvar_min": F.col("Q_voltvar") - margin,
         "Q_noncomp": F.abs(F.abs(q - F.col("Q_voltvar")) - margin)})
-    # one flag per site from a separate aggregation, so that no site is gathered in one task
-    wrong = site.groupBy("edp_site_id").agg(F.max(F.col("active_power") > F.col("Srated")).alias("wrong_on_maxP"))
-    return site.join(wrong, "edp_site_id")
+    # rows are one per site and time here, so the window is bounded by the sampling grid
+    ever = F.max(F.col("active_power") > F.col("Srated")).over(Window.partitionBy("edp_site_id"))
+    return site.withColumn("wrong_on_maxP", ever)
 
 
 def reactive_ranking(edp: DataFrame) -> DataFrame:

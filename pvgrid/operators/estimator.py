@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pvgrid.functions.exact import exact_avg, quantise
+from pvgrid.functions.exact import quantise
 from pvgrid.functions.localtime import dated_bin, tod_bin
 
-SLOPE_DIGITS = 9
+SLOPE_DIGITS = 6
+RATIO_DIGITS = 9
 
 
 def _conditions(kind: str) -> Column:
@@ -44,12 +45,14 @@ def eligible_rows(structured: DataFrame, kind: str = "train", bin_minutes: int =
     raw_fit / raw_series   the older fit on unscaled irradiance
 
     x is GHI over clear-sky GHI, y is P over clear-sky P; both null for a zero divisor.
+    They are kept to nine decimals: equal ratios computed from different rows must stay
+    equal, or a bin with one irradiance ratio would be fitted through rounding noise.
     """
     t = F.col("t_stamp")
     return structured.where(_conditions(kind)).withColumns({
         "tod_bin": dated_bin(t, bin_minutes) if dated else tod_bin(t, bin_minutes),
-        "x": F.try_divide(F.col("GHI"), F.col("GHI_cs")),
-        "y": F.try_divide(F.col("P_kw_norm"), F.col("P_kw_norm_cs"))})
+        "x": quantise(F.try_divide(F.col("GHI"), F.col("GHI_cs")), RATIO_DIGITS),
+        "y": quantise(F.try_divide(F.col("P_kw_norm"), F.col("P_kw_norm_cs")), RATIO_DIGITS)})
 
 
 def split_days(rows: DataFrame, fraction: float = 0.8, seed: int = 0) -> DataFrame:
@@ -73,7 +76,7 @@ def _where_varied(coefficient: Column, driver: str) -> Column:
 def fit_ghi_norm_model(train: DataFrame) -> DataFrame:
     """Line per site and time of day: slope b of y on x, a = 1 - b, n rows.
 
-    The slope is that of the unconstrained fit and is kept to nine decimals, so that the
+    The slope is that of the unconstrained fit and is kept to six decimals, so that the
     model does not depend on the order in which rows were combined.
     """
     slope = _where_varied(F.regr_slope("y", "x"), "x")
@@ -117,10 +120,10 @@ def _error_metrics(cond: Column, suffix: str) -> list[Column]:
     return [
         F.count_if(cond).alias(f"n{suffix}"),
         (r * r).alias(f"r2{suffix}"),
-        (exact_avg(F.try_divide(F.abs(err), F.abs(p))) * 100).alias(f"mape{suffix}"),
-        (F.sqrt(exact_avg(err * err)) * F.first(s)).alias(f"rmse{suffix}"),
-        (exact_avg(F.abs(err)) * F.first(s)).alias(f"mae{suffix}"),
-        (exact_avg(err) * F.first(s)).alias(f"bias{suffix}"),
+        (F.avg(F.try_divide(F.abs(err), F.abs(p))) * 100).alias(f"mape{suffix}"),
+        (F.sqrt(F.avg(err * err)) * F.first(s)).alias(f"rmse{suffix}"),
+        (F.avg(F.abs(err)) * F.first(s)).alias(f"mae{suffix}"),
+        (F.avg(err) * F.first(s)).alias(f"bias{suffix}"),
     ]
 
 
@@ -147,10 +150,10 @@ def model_metrics_unfiltered(rows: DataFrame, model: DataFrame) -> DataFrame:
     r = F.corr(p, e)
     return est.groupBy("site_id", "S_99").agg(
         F.count("*").alias("n"), (r * r).alias("r2"),
-        (exact_avg(F.when(F.abs(p) > 0.2, F.try_divide(F.abs(p - e), F.abs(p)))) * 100).alias("mape"),
-        (F.sqrt(exact_avg((p - e) * (p - e))) * F.first(s)).alias("rmse"),
-        (exact_avg(F.abs(p - e)) * F.first(s)).alias("mae"),
-        (exact_avg(p - e) * F.first(s)).alias("bias"))
+        (F.avg(F.when(F.abs(p) > 0.2, F.try_divide(F.abs(p - e), F.abs(p)))) * 100).alias("mape"),
+        (F.sqrt(F.avg((p - e) * (p - e))) * F.first(s)).alias("rmse"),
+        (F.avg(F.abs(p - e)) * F.first(s)).alias("mae"),
+        (F.avg(p - e) * F.first(s)).alias("bias"))
 
 
 def acceptable_sites(metrics: DataFrame, limit: float = 50) -> DataFrame:

@@ -135,7 +135,8 @@ CLASSES = ("Q_adverse", "Q_inactive", "Q_minor_deviation", "Q_major_deficit", "Q
 
 def voltvar_sql(source: str) -> str:
     measures = ("nonconformance_voltvar", *CLASSES, "curtailment_voltvar")
-    sums = ", ".join(f"{xsum(m)} AS {m}_sum" for m in measures)
+    sums = ", ".join(f"{xsum(m)} AS {m}_sum" for m in measures[:-1])
+    sums += f", {q6('SUM(curtailment_voltvar)')} AS curtailment_voltvar_sum"
     counts = ", ".join(f"{npos(m)} AS {m}_count" for m in measures)
     return (f"SELECT year, month, day, day_night, site_id, {xsum('P_kW')} AS P_kW_sum, {sums}, {counts}, "
             f"COUNT(nonconformance_voltvar) AS total_count FROM {source} "
