@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,17 +13,9 @@ def group_quantile(x: Column, p: float) -> Column:
     return F.percentile_approx(x, F.lit(p), F.lit(ACCURACY))
 
 
-def frame_quantile(x: Column, ordered: WindowSpec, numerator: int = 3, denominator: int = 5,
-                   before: int = 3, after: int = 3) -> Column:
-    """Exact discrete quantile over the rows ``before`` .. ``after`` of the current row.
+def frame_quantile(x: Column, ordered: WindowSpec, p: float = 0.6, before: int = 3, after: int = 3) -> Column:
+    """Quantile over the rows ``before`` .. ``after`` of the current row, nulls ignored.
 
-    The frame is laid out with offset functions, so each row costs one sort of at most
-    ``before + after + 1`` values instead of a sketch rebuilt per row. Nulls are ignored.
+    For frames this short the sketch holds every value, so the result is exact.
     """
-    cells = [F.lag(x, i).over(ordered) for i in range(before, 0, -1)]
-    cells += [x]
-    cells += [F.lead(x, i).over(ordered) for i in range(1, after + 1)]
-    present = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cells])
-    rank = F.floor((present * numerator + (denominator - 1)) / denominator).cast("int")
-    nulls_first = F.sort_array(F.array(*cells))
-    return F.when(present > 0, F.element_at(nulls_first, len(cells) - present + rank))
+    return group_quantile(x, p).over(ordered.rowsBetween(-before, after))

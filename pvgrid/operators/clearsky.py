@@ -14,6 +14,7 @@ from pvgrid.functions.exact import exact_avg
 from pvgrid.functions.localtime import local_day, tod_bin
 from pvgrid.functions.quantiles import frame_quantile
 from pvgrid.operators.site import normalise
+from pvgrid.session import stage
 
 CELL = ["latitude", "longitude"]
 
@@ -117,16 +118,25 @@ def segment_gaps(rows: DataFrame, minutes: int = 30) -> DataFrame:
     return rows.withColumn("segment_id", F.sum("gap_start").over(running)).drop("gap_start")
 
 
-def clear_sky_profile(rows: DataFrame, clear: DataFrame, held: DataFrame) -> DataFrame:
+def with_irradiance(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Site rows with the grid values of their cell and time; ``lit`` marks a match.
+
+    ``held`` may carry further columns per (cell, time).
+    """
+    lit = held.withColumnRenamed("time_5min", "t_stamp").withColumn("lit", F.lit(True))
+    return rows.join(lit, [*CELL, "t_stamp"], "left").withColumn("lit", F.col("lit").isNotNull())
+
+
+def clear_sky_profile(rows: DataFrame, clear: DataFrame) -> DataFrame:
     """Smoothed clear-sky power and irradiance per site, clear day and time of day.
 
-    ``rows`` are site rows with their cell and P_kw_norm, ``clear`` the (cell, cs_day)
-    in use, ``held`` the 5-minute grid. Whole days are selected first, so segments keep
-    their meaning while only clear days are windowed.
+    ``rows`` come from :func:`with_irradiance` with P_kw_norm, ``clear`` lists the
+    (cell, day) in use. Whole days are selected first, so segments keep their meaning
+    while only clear days are windowed; both windows share one shuffle by site and day.
     """
-    wanted = clear.select(*CELL, F.col("cs_day").alias("day")).distinct()
+    wanted = clear.select(*CELL, "day").distinct()
     rows = rows.withColumn("day", local_day(F.col("t_stamp"))).join(wanted, [*CELL, "day"], "left_semi")
-    rows = segment_gaps(rows).join(held.withColumnRenamed("time_5min", "t_stamp"), [*CELL, "t_stamp"])
+    rows = segment_gaps(rows).where("lit")
     w = Window.partitionBy("site_id", "day", "segment_id").orderBy("t_stamp")
     return rows.select(
         "site_id", F.col("day").alias("cs_day"), tod_bin(F.col("t_stamp")).alias("cs_tod"),
@@ -135,24 +145,32 @@ def clear_sky_profile(rows: DataFrame, clear: DataFrame, held: DataFrame) -> Dat
         F.col("cloud_type").alias("cloud_type_cs"))
 
 
-def structured_data(site: DataFrame, cells: DataFrame, solar: DataFrame, max_days: int = 45) -> DataFrame:
-    """Actual rows next to the profile of the nearest clear day of their cell.
+def held_with_clear_day(grid: DataFrame) -> DataFrame:
+    """The 5-minute grid with the local day and the nearest clear day of each row's cell.
 
-    ``site`` are site rows of the eligible sites. They are used twice (actual rows and
-    clear-sky profile), so pass a staged table when they are expensive. The clear day
-    is attached before the profile join, which keeps the key at (site, day, time of day).
+    The clear day is attached on the grid side, which is much smaller than the site
+    rows; cells without any clear day drop out.
     """
-    rows = normalise(site).join(cells, "site_id")
-    grid = grid_of_sites(solar, cells)
-    held = hold_to_5min(grid)
-    cell_days = rows.select(*CELL, local_day(F.col("t_stamp")).alias("day")).distinct()
+    held = hold_to_5min(grid).withColumn("actual_day", local_day(F.col("time_5min")))
+    cell_days = held.select(*CELL, F.col("actual_day").alias("day")).distinct()
     nearest = nearest_clear_sky_day(cell_days, clear_sky_days(grid))
-    profile = clear_sky_profile(rows, nearest, held)
-    close = nearest.where(F.abs(F.datediff("cs_day", "actual_day")) < max_days)
+    return held.join(nearest, [*CELL, "actual_day"])
+
+
+def structured_data(site: DataFrame, grid: DataFrame, max_days: int = 45) -> DataFrame:
+    """Actual rows next to the profile of the nearest clear day of their cell.
+
+    ``site`` are site rows of the eligible sites with their cell, ``grid`` the rows of
+    :func:`grid_of_sites`. They meet in one join by cell and time; the joined rows are staged, because both the clear-sky
+    profile and the actual rows read them.
+    """
+    columns = ("site_id", "t_stamp", *CELL, "V", "Q_kvar_norm", "P_kw_norm", "S_norm", "S_99")
+    lit = with_irradiance(normalise(site).select(*columns), held_with_clear_day(grid))
+    rows = stage(lit, "lit-rows")
+    profile = clear_sky_profile(rows, clear_sky_days(grid))
     t = F.col("t_stamp")
-    actual = (rows.withColumns({"actual_day": local_day(t), "actual_tod": tod_bin(t), "cs_tod": tod_bin(t)})
-              .join(close, [*CELL, "actual_day"])
-              .join(held.withColumnRenamed("time_5min", "t_stamp"), [*CELL, "t_stamp"]))
+    actual = rows.where(F.col("lit") & (F.abs(F.datediff("cs_day", "actual_day")) < max_days))
+    actual = actual.withColumns({"actual_tod": tod_bin(t), "cs_tod": tod_bin(t)})
     return actual.join(profile, ["site_id", "cs_day", "cs_tod"]).select(
         "site_id", "t_stamp", "actual_day", "actual_tod", "V", "Q_kvar_norm", "P_kw_norm", "S_norm",
         "GHI", "cloud_type", "cs_day", "cs_tod", "P_kw_norm_cs", "GHI_cs", "cloud_type_cs", "S_99",
@@ -194,14 +212,15 @@ def clear_day_peaks(rows: DataFrame, grid: DataFrame) -> DataFrame:
             .agg(F.max("GHI").alias("max_GHI"), F.max("P_kW").alias("max_P_kw")))
 
 
-def clear_day_series(rows: DataFrame, cells: DataFrame, solar: DataFrame, sites: DataFrame) -> DataFrame:
-    """Rows of the chosen sites on clear days with S, PF, irradiance and smoothed power."""
-    chosen = cells.join(sites.select("site_id").distinct(), "site_id", "left_semi")
-    grid = grid_of_sites(solar, chosen)
-    held = hold_to_5min(grid).withColumnRenamed("time_5min", "t_stamp")
+def clear_day_series(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Rows on clear days with S, PF, irradiance and smoothed power.
+
+    ``rows`` are the site rows of the chosen sites with their cell, ``grid`` the grid of
+    those sites.
+    """
     clear = clear_sky_days(grid).select(*CELL, "day")
-    rows = rows.join(chosen, "site_id").withColumn("day", local_day(F.col("t_stamp")))
-    rows = segment_gaps(rows.join(clear, [*CELL, "day"], "left_semi")).join(held, [*CELL, "t_stamp"])
+    rows = rows.withColumn("day", local_day(F.col("t_stamp"))).join(clear, [*CELL, "day"], "left_semi")
+    rows = segment_gaps(with_irradiance(rows, hold_to_5min(grid))).where("lit")
     w = Window.partitionBy("site_id", "day", "segment_id").orderBy("t_stamp")
     p, q = F.col("P_kW"), F.col("Q_kvar")
     return rows.select(

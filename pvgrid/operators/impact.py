@@ -98,23 +98,19 @@ def conformant_but_high_voltage(site: DataFrame, surplus_is_nonconformant: bool
 
 
 def deadband_irradiance_coverage(site: DataFrame, meta: DataFrame, solar: DataFrame,
-                                 v_lo: float = 220, v_hi: float = 240, pf_below: float = 0.98,
-                                 cells: DataFrame | None = None) -> DataFrame:
+                                 v_lo: float = 220, v_hi: float = 240, pf_below: float = 0.98) -> DataFrame:
     """Sunlit time stamps per site inside the dead band and overall, with GHI quantiles.
 
-    ``site`` holds site rows without voltage bounds. Only grid cells with a site whose
+    ``site`` holds site rows with their cell and without voltage bounds. Only grid cells with a site whose
     low power factor shows a reactive response are used. Both counts come from one pass.
     """
     cell = ["latitude", "longitude"]
-    if cells is None:
-        cells = meta.select("site_id", F.col("n_lat").alias("latitude"),
-                            F.col("n_long").alias("longitude")).distinct()
     responsive = (meta.where(F.col("pf_01") < pf_below)
                   .select(F.col("n_lat").alias("latitude"), F.col("n_long").alias("longitude")).distinct())
     grid = (solar.join(responsive, cell, "left_semi")
             .select("time", *cell, "GHI").distinct())
     held = hold_to_5min(grid).withColumnRenamed("time_5min", "t_stamp")
-    rows = site.join(cells, "site_id").join(held, [*cell, "t_stamp"]).where(F.col("GHI") > 0)
+    rows = site.join(held, [*cell, "t_stamp"]).where(F.col("GHI") > 0)
     ghi, inside = F.col("GHI"), F.col("V").between(v_lo, v_hi)
     quantiles = (("p1", 0.01), ("p50", 0.5), ("p99", 0.99))
     out = rows.groupBy("site_id").agg(

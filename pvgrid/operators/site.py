@@ -48,24 +48,30 @@ def circuit_readings(ts: DataFrame, meta: DataFrame, columns: tuple[str, ...], *
 
 def site_power(ts: DataFrame, meta: DataFrame, *, v_lo: float | None = 0, v_hi: float | None = 300,
                inclusive: bool = False, v_agg: str = "avg", capacity: str = "max",
-               carry: tuple[str, ...] = (), scrub_after: tuple[float, float] | None = None,
+               cell: bool = False, scrub_after: tuple[float, float] | None = None,
                pv_only: bool = True, meta_pv_only: bool = True) -> DataFrame:
     """Site totals per time stamp: P_kW, Q_kvar, V, ac_capacity_kw, S_99.
 
     v_agg       "avg" or "max" of the circuit voltages
     capacity    "max" (one row per site and time), "avg", or "key" (capacity is part
                 of the group, as in the trip and sustained-operation analyses)
-    carry       further site columns to keep (their maximum)
+    cell        keep the grid cell of the site as latitude and longitude, so that later
+                joins with the grid need no further look-up by site
     scrub_after bounds tested on the aggregated voltage instead of on readings
 
     Totals are exact to 1e-6 W. The shuffle key is (site, time), so a site holding a
     large share of the readings is spread over all tasks and combined before the
     shuffle.
     """
-    rows = circuit_readings(ts, meta, ("ac_capacity_kw", "S_99", *carry), v_lo=v_lo, v_hi=v_hi,
+    where = ("n_lat", "n_long") if cell else ()
+    rows = circuit_readings(ts, meta, ("ac_capacity_kw", "S_99", *where), v_lo=v_lo, v_hi=v_hi,
                             inclusive=inclusive, pv_only=pv_only, meta_pv_only=meta_pv_only)
     pol = F.col("circuit_polarity")
     keys = ["site_id", "t_stamp"] + (["ac_capacity_kw"] if capacity == "key" else [])
+    place = []
+    if cell:
+        rows = rows.withColumnsRenamed({"n_lat": "latitude", "n_long": "longitude"})
+        place = ["latitude", "longitude"]
     volts = exact_avg(F.col("voltage")) if v_agg == "avg" else F.max(micro(F.col("voltage"))) / F.lit(1e6)
     aggs = [
         exact_sum(F.col("power") * pol, 1000.0).alias("P_kW"),
@@ -76,11 +82,11 @@ def site_power(ts: DataFrame, meta: DataFrame, *, v_lo: float | None = 0, v_hi:
         aggs.append(F.max("ac_capacity_kw").alias("ac_capacity_kw"))
     elif capacity == "avg":
         aggs.append(exact_avg(F.col("ac_capacity_kw")).alias("ac_capacity_kw"))
-    aggs += [F.max(c).alias(c) for c in ("S_99", *carry)]
-    out = rows.groupBy(*keys).agg(*aggs)
+    aggs.append(F.max("S_99").alias("S_99"))
+    out = rows.groupBy(*keys, *place).agg(*aggs)
     if scrub_after is not None:
         out = out.where(F.col("V").between(*scrub_after))
-    return out.select("site_id", "t_stamp", "P_kW", "Q_kvar", "V", "ac_capacity_kw", "S_99", *carry)
+    return out.select("site_id", "t_stamp", "P_kW", "Q_kvar", "V", "ac_capacity_kw", "S_99", *place)
 
 
 def site_power_by_role(ts: DataFrame, meta: DataFrame, *, v_lo: float = 0, v_hi: float = 300) -> DataFrame:

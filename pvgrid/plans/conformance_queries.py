@@ -302,8 +302,9 @@ FROM (SELECT *, MAX(P_kW) OVER (PARTITION BY site_id, day) AS pmax, {', '.join(f
 WHERE P_kW >= 0.2e0 * {S} AND {S} >= 5 AND p4 IS NOT NULL AND P_kW <= 0.75e0 * pmax""")
 
 
-def flex_site(spark, sf_dir, v_lo: float = 0) -> DataFrame:
-    return site_power(views.ts(spark, sf_dir), views.meta(spark, sf_dir), v_lo=v_lo, v_hi=300, inclusive=True)
+def flex_site(spark, sf_dir, v_lo: float = 0, cell: bool = False) -> DataFrame:
+    return site_power(views.ts(spark, sf_dir), views.meta(spark, sf_dir), v_lo=v_lo, v_hi=300, inclusive=True,
+                      cell=cell)
 
 
 @register("flex_export_sites", with_views(

@@ -68,13 +68,11 @@ def grid(spark, sf_dir) -> DataFrame:
 
 
 def eligible_site(spark, sf_dir) -> DataFrame:
-    return site_power(views.ts(spark, sf_dir), eligible_meta(spark, sf_dir))
+    return site_power(views.ts(spark, sf_dir), eligible_meta(spark, sf_dir), cell=True)
 
 
 def structured(spark, sf_dir) -> DataFrame:
-    """Structured rows; site rows are staged because profile and actual rows both read them."""
-    rows = stage(eligible_site(spark, sf_dir), "site-rows")
-    return clearsky.structured_data(rows, cells(spark, sf_dir), views.solar(spark, sf_dir))
+    return clearsky.structured_data(eligible_site(spark, sf_dir), grid(spark, sf_dir))
 
 
 # --- solar grid and clear sky --------------------------------------------------
@@ -115,7 +113,7 @@ def _cloudless(spark, sf_dir):
 @register("nearest_clear_sky_day", with_views(
     "SELECT latitude, longitude, actual_day, cs_day FROM nearest", SITE, CELLS, GRID, DAILY, CLEAR, ROWS, NEAREST, views=SOLAR_BASE))
 def _nearest(spark, sf_dir):
-    rows = eligible_site(spark, sf_dir).join(cells(spark, sf_dir), "site_id")
+    rows = eligible_site(spark, sf_dir)
     days = rows.select("latitude", "longitude", clearsky.local_day(F.col("t_stamp")).alias("day")).distinct()
     return clearsky.nearest_clear_sky_day(days, clearsky.clear_sky_days(grid(spark, sf_dir)))
 
@@ -127,11 +125,9 @@ def _segments(spark, sf_dir):
 
 @register("clear_sky_profile", with_views("SELECT * FROM profile", *SKY[:-1], views=SOLAR_BASE))
 def _profile(spark, sf_dir):
-    rows = stage(clearsky.normalise(eligible_site(spark, sf_dir)).join(cells(spark, sf_dir), "site_id"), "site-rows")
     g = grid(spark, sf_dir)
-    days = rows.select("latitude", "longitude", clearsky.local_day(F.col("t_stamp")).alias("day")).distinct()
-    nearest = clearsky.nearest_clear_sky_day(days, clearsky.clear_sky_days(g))
-    return clearsky.clear_sky_profile(rows, nearest, clearsky.hold_to_5min(g))
+    rows = clearsky.with_irradiance(clearsky.normalise(eligible_site(spark, sf_dir)), clearsky.hold_to_5min(g))
+    return clearsky.clear_sky_profile(rows, clearsky.clear_sky_days(g))
 
 
 @register("structured_data", with_views("SELECT * FROM structured", *SKY, views=SOLAR_BASE))
@@ -155,8 +151,8 @@ PEAK_CTES = (PEAK_SITE, CELLS, GRID, HELD, DAILY, ZERO_DAYS, ROWS, PEAKS)
 
 
 def peaks(spark, sf_dir) -> DataFrame:
-    rows = site_power(views.ts(spark, sf_dir), eligible_meta(spark, sf_dir), v_lo=200, inclusive=True)
-    return clearsky.clear_day_peaks(rows.join(cells(spark, sf_dir), "site_id"), grid(spark, sf_dir))
+    rows = site_power(views.ts(spark, sf_dir), eligible_meta(spark, sf_dir), v_lo=200, inclusive=True, cell=True)
+    return clearsky.clear_day_peaks(rows, grid(spark, sf_dir))
 
 
 @register("clear_day_peaks", with_views("SELECT * FROM peaks", *PEAK_CTES, views=SOLAR_BASE))
@@ -178,9 +174,10 @@ WINDOW w AS (PARTITION BY site_id, s.day, segment_id ORDER BY s.t_stamp ROWS BET
     ("site", site("voltage >= 0 AND voltage <= 300")), FLEX_ROWS, FLEX_CELLS, GRID, HELD, DAILY, CLEAR, ROWS, SEGMENTS,
     views=SOLAR_BASE))
 def _series(spark, sf_dir):
-    rows = stage(flex_site(spark, sf_dir), "site-rows")
-    all_cells = clearsky.site_cells(views.meta(spark, sf_dir).where("is_pv"))
-    return clearsky.clear_day_series(rows, all_cells, views.solar(spark, sf_dir), sequences.flex_export_sites(rows))
+    rows = stage(flex_site(spark, sf_dir, cell=True), "site-rows")
+    chosen = rows.join(sequences.flex_export_sites(rows).select("site_id").distinct(), "site_id", "left_semi")
+    chosen_cells = chosen.select("latitude", "longitude").distinct()
+    return clearsky.clear_day_series(chosen, clearsky.grid_of_sites(views.solar(spark, sf_dir), chosen_cells))
 
 
 DETECTED = ("detected", f"""SELECT station, date, {xavg('step')} AS mean_step, MAX(ghi_mean) AS max_ghi,

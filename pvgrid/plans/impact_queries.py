@@ -102,7 +102,7 @@ FROM (SELECT DISTINCT time, latitude, longitude, GHI FROM solar
 
 def _coverage(spark, sf_dir):
     meta = views.meta(spark, sf_dir)
-    rows = site_power(views.ts(spark, sf_dir), meta, v_lo=None, v_hi=None)
+    rows = site_power(views.ts(spark, sf_dir), meta, v_lo=None, v_hi=None, cell=True)
     return impact.deadband_irradiance_coverage(rows, meta, views.solar(spark, sf_dir))
 
 

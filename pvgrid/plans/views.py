@@ -29,12 +29,28 @@ MAKERS = ("SolarEdge", "Fronius", "SMA", "GoodWe", "Sungrow", "Solaredge", "Good
           "SolaX", "Generic Inverter", "Enphase")
 
 
+# Declared schemas: reading starts without a job that opens file footers.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def pick(values: tuple[str, ...], index: str) -> Column:
+    """Element of a fixed list at a 0-based position given as SQL text."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    return F.expr(f"element_at(array({listed}), cast({index} + 1 as int))")
 
 
 def sample_time(day: Column, k: Column) -> Column:
@@ -106,8 +122,8 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         capacity(s).alias("ac_capacity_kw"), (F.lit(0.95) * capacity(s)).alias("S_99"),
         (-(F.lit(10) + s % GRID_CELLS)).cast("double").alias("n_lat"),
         (F.lit(120) + s % GRID_CELLS).cast("double").alias("n_long"),
-        pick(STATES, nation % 5).alias("state"), pick(NETWORKS, s % 6).alias("dnsp_name"),
-        F.when(s % 13 == 0, F.lit(None).cast("string")).otherwise(pick(MAKERS, s % 11)).alias("manufacturer"),
+        pick(STATES, "s_nationkey % 5").alias("state"), pick(NETWORKS, "s_suppkey % 6").alias("dnsp_name"),
+        F.when(s % 13 == 0, F.lit(None).cast("string")).otherwise(pick(MAKERS, "s_suppkey % 11")).alias("manufacturer"),
         F.when(s % 17 == 0, F.lit(None).cast("date")).otherwise(install).alias("pv_install_date"),
         F.when(s % 19 == 0, F.lit(None).cast("int")).otherwise(F.lit(2000) + nation).alias("postcode"),
         (F.lit(0.9) + (s % 10).cast("double") / F.lit(100.0)).alias("pf_01"),

@@ -17,13 +17,16 @@ RUNTIME = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Settings only a new session can take: plan building without a stack trace per column.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build_session(app: str = "pvgrid", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session; dots in extra settings are written as double underscores."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in RUNTIME.items():
+    for key, value in {**RUNTIME, **AT_START}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
