@@ -113,13 +113,20 @@ def estimate_uncurtailed(rows: DataFrame, model: DataFrame, driver: str = "x",
     return rows.join(keyed, ["site_id", "tod_bin"]).withColumn("P_kw_norm_est", value)
 
 
+def _r_squared(cond: Column, p: Column, est: Column) -> Column:
+    """Squared correlation over the rows meeting the condition, null without variation."""
+    p, est = F.when(cond, p), F.when(cond, est)
+    varied = (F.max(p) > F.min(p)) & (F.max(est) > F.min(est))
+    covariance = F.covar_pop(p, est)
+    return F.when(varied, F.try_divide(covariance * covariance, F.var_pop(p) * F.var_pop(est)))
+
+
 def _error_metrics(cond: Column, suffix: str) -> list[Column]:
     p, est, s = F.col("P_kw_norm"), F.col("P_kw_norm_est"), F.col("S_99")
     err = F.when(cond, p - est)
-    r = F.corr(F.when(cond, p), F.when(cond, est))
     return [
         F.count_if(cond).alias(f"n{suffix}"),
-        (r * r).alias(f"r2{suffix}"),
+        _r_squared(cond, p, est).alias(f"r2{suffix}"),
         (F.avg(F.try_divide(F.abs(err), F.abs(p))) * 100).alias(f"mape{suffix}"),
         (F.sqrt(F.avg(err * err)) * F.first(s)).alias(f"rmse{suffix}"),
         (F.avg(F.abs(err)) * F.first(s)).alias(f"mae{suffix}"),
@@ -147,9 +154,8 @@ def model_metrics_unfiltered(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Fit quality per site of the older model: all rows, MAPE above 0.2 only."""
     est = estimate_uncurtailed(rows, model, driver="GHI", below="keep")
     p, e, s = F.col("P_kw_norm"), F.col("P_kw_norm_est"), F.col("S_99")
-    r = F.corr(p, e)
     return est.groupBy("site_id", "S_99").agg(
-        F.count("*").alias("n"), (r * r).alias("r2"),
+        F.count("*").alias("n"), _r_squared(e.isNotNull(), p, e).alias("r2"),
         (F.avg(F.when(F.abs(p) > 0.2, F.try_divide(F.abs(p - e), F.abs(p)))) * 100).alias("mape"),
         (F.sqrt(F.avg((p - e) * (p - e))) * F.first(s)).alias("rmse"),
         (F.avg(F.abs(p - e)) * F.first(s)).alias("mae"),

@@ -305,9 +305,10 @@ def _metric_sql(cond: str, suffix: str, mape_cond: str | None = None) -> str:
     rel = f"CASE WHEN {mape_cond or cond} THEN abs({p} - {e}) / abs({p}) END"
     r = f"corr(CASE WHEN {cond} THEN {p} END, CASE WHEN {cond} THEN {e} END)"
     r2 = q6(f"{r} * {r}")
+    varied = " AND ".join(f"MAX({c}) FILTER ({cond}) > MIN({c}) FILTER ({cond})" for c in (p, e))
     mape, rmse = q6(f"AVG({rel}) * 100"), q6(f"sqrt(AVG(({err}) * ({err}))) * {s}")
     mae, bias = q6(f"AVG(abs({err})) * {s}"), q6(f"AVG({err}) * {s}")
-    return (f"COUNT(*) FILTER ({cond}) AS n{suffix}, CASE WHEN isnan({r}) THEN NULL ELSE {r2} END AS r2{suffix}, "
+    return (f"COUNT(*) FILTER ({cond}) AS n{suffix}, CASE WHEN {varied} THEN {r2} END AS r2{suffix}, "
             f"{mape} AS mape{suffix}, {rmse} AS rmse{suffix}, {mae} AS mae{suffix}, {bias} AS bias{suffix}")
 
 
@@ -510,8 +511,8 @@ def _site_temp(spark, sf_dir):
 
 @register("peak_power_regression", with_views("""
 SELECT site_id, day, max_P_kw, round(my + b1 * (GHI_T - m1) + b2 * (max_GHI - m2), 5) AS max_P_kw_pred
-FROM site_temp, (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
-                           (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2
+FROM site_temp, (SELECT *, coalesce((s1y * s22 - s2y * s12) / nullif(s11 * s22 - s12 * s12, 0), 0) AS b1,
+                           coalesce((s2y * s11 - s1y * s12) / nullif(s11 * s22 - s12 * s12, 0), 0) AS b2
   FROM (SELECT AVG(max_P_kw) AS my, AVG(GHI_T) AS m1, AVG(max_GHI) AS m2, var_pop(GHI_T) AS s11, var_pop(max_GHI) AS s22,
                covar_pop(GHI_T, max_GHI) AS s12, covar_pop(GHI_T, max_P_kw) AS s1y, covar_pop(max_GHI, max_P_kw) AS s2y
         FROM site_temp WHERE GHI_T IS NOT NULL)) WHERE GHI_T IS NOT NULL""", *PEAK_CTES, DAILY_TEMP, SITE_TEMP,

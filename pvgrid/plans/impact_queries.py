@@ -163,12 +163,13 @@ def _event_sampling(spark, sf_dir):
     return quality.sampling_interval(rows)
 
 
-@register("postcode_step_quantile", with_views("""
-SELECT postcode, quantile_cont(epoch(time) - epoch(p), 0.99) AS step_seconds
+@register("postcode_step_quantile", with_views(f"""
+SELECT postcode, {q6('quantile_cont(epoch(time) - epoch(p), 0.99)')} AS step_seconds
 FROM (SELECT postcode, time, lag(time) OVER (PARTITION BY postcode ORDER BY time) AS p
       FROM (SELECT DISTINCT postcode, time FROM solar)) GROUP BY postcode""", views=("solar",)))
 def _postcode_step(spark, sf_dir):
-    return quality.step_quantile(views.solar(spark, sf_dir).select("postcode", "time").distinct())
+    steps = quality.step_quantile(views.solar(spark, sf_dir).select("postcode", "time").distinct())
+    return steps.withColumn("step_seconds", quantise(F.col("step_seconds")))
 
 
 @register("negative_voltages", with_views(
