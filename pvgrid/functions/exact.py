@@ -16,8 +16,9 @@ MILLION = 1e6
 
 
 def micro(x: Column) -> Column:
-    """Value in whole millionths, halves rounded up."""
-    return F.floor(x * F.lit(MILLION) + F.lit(0.5))
+    """Value in whole millionths, halves rounded up; NaN counts as missing."""
+    known = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    return F.floor(known * F.lit(MILLION) + F.lit(0.5))
 
 
 def exact_sum(x: Column, scale: float = 1.0) -> Column:
@@ -27,7 +28,7 @@ def exact_sum(x: Column, scale: float = 1.0) -> Column:
 
 def exact_avg(x: Column) -> Column:
     """Mean of the values rounded to six decimals; null for no values."""
-    return F.try_divide(F.sum(micro(x)) / F.lit(MILLION), F.count(x))
+    return F.try_divide(F.sum(micro(x)) / F.lit(MILLION), F.count(micro(x)))
 
 
 def wide_sum(x: Column) -> Column:
@@ -36,7 +37,7 @@ def wide_sum(x: Column) -> Column:
 
 
 def wide_avg(x: Column) -> Column:
-    return F.try_divide(wide_sum(x), F.count(x))
+    return F.try_divide(wide_sum(x), F.count(micro(x)))
 
 
 def quantise(x: Column, digits: int = 6) -> Column:

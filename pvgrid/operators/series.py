@@ -14,21 +14,24 @@ def add_total_group(df: DataFrame, time: str, group: str, totals: dict[str, Colu
     return rows.unionByName(total.withColumn(group, F.lit(label)).select(time, group, *totals))
 
 
-def period_index(df: DataFrame, time: str, period_seconds: int) -> DataFrame:
-    """Number each row's period counted back from the latest time, which is in period 1."""
-    latest = df.agg(F.max(F.unix_timestamp(time))).scalar()
-    back = (latest + F.lit(period_seconds) - F.unix_timestamp(time)) / F.lit(period_seconds)
+def period_index(df: DataFrame, time: str, period_seconds: int, latest: int | None = None) -> DataFrame:
+    """Number each row's period counted back from the latest time, which is in period 1.
+
+    ``latest`` (seconds since 1970) saves the pass that finds the latest time.
+    """
+    last = df.agg(F.max(F.unix_timestamp(time))).scalar() if latest is None else F.lit(latest)
+    back = (last + F.lit(period_seconds) - F.unix_timestamp(time)) / F.lit(period_seconds)
     return df.withColumn("num_periods", F.floor(back))
 
 
 def period_series(df: DataFrame, time: str, group: str, attributes: tuple[str, ...],
-                  period_seconds: int = 86400) -> DataFrame:
+                  period_seconds: int = 86400, latest: int | None = None) -> DataFrame:
     """Ordered lists of times and attributes per period and group.
 
     For site rows (one per group and time) a list is as long as a period has samples,
     288 for a day.
     """
-    rows = period_index(df, time, period_seconds)
+    rows = period_index(df, time, period_seconds, latest)
     entries = F.array_sort(F.collect_list(F.struct(time, *attributes)))
     lists = rows.groupBy("num_periods", group).agg(entries.alias("_e"))
     return lists.select("num_periods", group,

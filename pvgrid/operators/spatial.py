@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pvgrid.session import stage
+
 KM_PER_DEGREE = 111
 BITS_PER_ROUND = 3
 LEAF_POINTS = 32
@@ -57,9 +59,9 @@ def nearest_point(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     top = {"x0": box["x0"], "y0": box["y0"], "span": span}
     depth = _depth(points.select("x", "y").distinct(), top)
     # duplicates at one position beyond the k smallest keys can never be reported
-    if k >= 1:
-        same = Window.partitionBy("x", "y").orderBy("_rid")
-        points = points.withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= k).drop("_same")
+    same = Window.partitionBy("x", "y").orderBy("_rid")
+    points = points.withColumn("_same", F.row_number().over(same)).where(F.col("_same") <= k).drop("_same")
+    points = stage(points, "points")  # read once per round
 
     targets = (left.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
                .select(F.col("longitude").alias("px"), F.col("latitude").alias("py")).distinct())
