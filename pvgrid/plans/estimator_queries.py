@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from pvgrid.functions.exact import quantise
 from pvgrid.operators import clearsky, conformance, estimator, sequences, weather
 from pvgrid.operators.site import site_power
 from pvgrid.plans import views
+from pvgrid.plans.chain import Fitted, fit
 from pvgrid.plans.conformance_queries import (BANDS, BASE, DEVIATION, FLEX_ROWS, SITE, VOLTWATT, canonical_site,
                                               flex_site, voltvar_rows_sql, voltvar_sql)
 from pvgrid.plans.registry import register
@@ -242,22 +241,8 @@ MODEL = ("model", "SELECT site_id, tod_bin, 1e0 - b AS a, b, n FROM (SELECT site
 FIT = (*SKY, eligible("el", "train"), split_sql("el"), TRAINVAL, MODEL)
 
 
-@dataclass
-class Fitted:
-    """Staged structured rows and the model fitted on their training days."""
-
-    structured: DataFrame
-    labelled: DataFrame
-    model: DataFrame
-
-
 def fitted(spark, sf_dir) -> Fitted:
-    """Stage what several estimator steps read: structured rows, labelled rows, model."""
-    table = stage(structured(spark, sf_dir), "structured")
-    rows = estimator.eligible_rows(table, "train")
-    labelled = stage(rows.join(estimator.split_days(rows), ["site_id", "actual_day"]), "labelled")
-    model = stage(estimator.fit_ghi_norm_model(labelled.where("day_type = 'train'")), "model")
-    return Fitted(table, labelled, model)
+    return fit(structured(spark, sf_dir))
 
 
 @register("eligible_train_rows", with_views("SELECT site_id, t_stamp, tod_bin, x, y FROM el", *SKY, eligible("el", "train"),
@@ -332,8 +317,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @register("model_metrics", with_views("SELECT * FROM metrics", *SCORED, views=SOLAR_BASE))
 def _metrics(spark, sf_dir):
-    fit = fitted(spark, sf_dir)
-    return _rounded(estimator.model_metrics(fit.labelled, fit.model), *[f"{m}_{d}" for m in MEASURES for d in ("train", "val")])
+    chain = fitted(spark, sf_dir)
+    return _rounded(estimator.model_metrics(chain.labelled, chain.model), *[f"{m}_{d}" for m in MEASURES for d in ("train", "val")])
 
 
 @register("ghi_model_metrics", with_views(f"SELECT site_id, S_99, {_metric_sql('est IS NOT NULL', '', 'abs(P_kw_norm) > 0.2')}, "
@@ -349,8 +334,7 @@ def _raw_metrics(spark, sf_dir):
 
 @register("acceptable_sites", with_views("SELECT * FROM accepted", *SCORED, ACCEPTED, views=SOLAR_BASE))
 def _acceptable(spark, sf_dir):
-    fit = fitted(spark, sf_dir)
-    return estimator.acceptable_sites(estimator.model_metrics(fit.labelled, fit.model))
+    return fitted(spark, sf_dir).accepted_sites()
 
 
 def _uncurtailed_sql(kind: str) -> str:
@@ -366,19 +350,12 @@ VW_U = ("vw_u", f"SELECT site_id, t_stamp, uncurtailed_P, V FROM ({_uncurtailed_
 CHAIN = (*SCORED, ACCEPTED)
 
 
-def _accepted_fit(spark, sf_dir) -> tuple[Fitted, DataFrame]:
-    fit = fitted(spark, sf_dir)
-    return fit, estimator.acceptable_sites(estimator.model_metrics(fit.labelled, fit.model))
-
-
 def all_uncurtailed(spark, sf_dir) -> DataFrame:
-    fit, sites = _accepted_fit(spark, sf_dir)
-    return estimator.all_uncurtailed(fit.structured, fit.model, sites)
+    return fitted(spark, sf_dir).all_uncurtailed()
 
 
 def voltwatt_uncurtailed(spark, sf_dir) -> DataFrame:
-    fit, sites = _accepted_fit(spark, sf_dir)
-    return estimator.voltwatt_uncurtailed(fit.structured, fit.model, sites)
+    return fitted(spark, sf_dir).voltwatt_uncurtailed()
 
 
 @register("all_uncurtailed", with_views("SELECT * FROM all_u", *CHAIN, ALL_U, views=SOLAR_BASE))
@@ -436,28 +413,29 @@ def _series_sql(source: str, driver: str, where: str = "true") -> str:
 
 @register("estimate_series_val", with_views(_series_sql("trainval", "x", "day_type = 'val'"), *FIT, views=SOLAR_BASE))
 def _series_val(spark, sf_dir):
-    fit = fitted(spark, sf_dir)
-    return estimator.estimate_series(fit.labelled.where("day_type = 'val'"), fit.model, driver="x")
+    chain = fitted(spark, sf_dir)
+    return estimator.estimate_series(chain.labelled.where("day_type = 'val'"), chain.model, driver="x")
 
 
 @register("estimate_series_train", with_views(_series_sql("trainval", "x", "day_type = 'train'"), *FIT, views=SOLAR_BASE))
 def _series_train(spark, sf_dir):
-    fit = fitted(spark, sf_dir)
-    return estimator.estimate_series(fit.labelled.where("day_type = 'train'"), fit.model, driver="x")
+    chain = fitted(spark, sf_dir)
+    return estimator.estimate_series(chain.labelled.where("day_type = 'train'"), chain.model, driver="x")
 
 
 @register("estimate_series_test", with_views(_series_sql("tst", "x"), *FIT, eligible("tst", "test"), views=SOLAR_BASE))
 def _series_test(spark, sf_dir):
-    fit = fitted(spark, sf_dir)
-    return estimator.estimate_series(estimator.eligible_rows(fit.structured, "test"), fit.model, driver="x")
+    chain = fitted(spark, sf_dir)
+    return estimator.estimate_series(estimator.eligible_rows(chain.structured, "test"), chain.model, driver="x")
 
 
 @register("estimate_series_accepted_sites", with_views(
     _series_sql("est_rows", "x", "site_id IN (SELECT site_id FROM accepted)"), *CHAIN, eligible("est_rows", "estimate"),
     views=SOLAR_BASE))
 def _series_sites(spark, sf_dir):
-    fit, sites = _accepted_fit(spark, sf_dir)
-    return estimator.estimate_series(estimator.eligible_rows(fit.structured, "estimate"), fit.model, "x", sites)
+    chain = fitted(spark, sf_dir)
+    rows = estimator.eligible_rows(chain.structured, "estimate")
+    return estimator.estimate_series(rows, chain.model, "x", chain.accepted_sites())
 
 
 @register("estimate_sanity", with_views("""
@@ -509,15 +487,30 @@ def _site_temp(spark, sf_dir):
     return site_temperatures(spark, sf_dir)
 
 
-@register("peak_power_regression", with_views("""
-SELECT site_id, day, max_P_kw, round(my + b1 * (GHI_T - m1) + b2 * (max_GHI - m2), 5) AS max_P_kw_pred
+PREDICTED = ("predicted", """
+SELECT site_id, day, max_P_kw, my + b1 * (GHI_T - m1) + b2 * (max_GHI - m2) AS max_P_kw_pred
 FROM site_temp, (SELECT *, coalesce((s1y * s22 - s2y * s12) / nullif(s11 * s22 - s12 * s12, 0), 0) AS b1,
                            coalesce((s2y * s11 - s1y * s12) / nullif(s11 * s22 - s12 * s12, 0), 0) AS b2
   FROM (SELECT AVG(max_P_kw) AS my, AVG(GHI_T) AS m1, AVG(max_GHI) AS m2, var_pop(GHI_T) AS s11, var_pop(max_GHI) AS s22,
                covar_pop(GHI_T, max_GHI) AS s12, covar_pop(GHI_T, max_P_kw) AS s1y, covar_pop(max_GHI, max_P_kw) AS s2y
-        FROM site_temp WHERE GHI_T IS NOT NULL)) WHERE GHI_T IS NOT NULL""", *PEAK_CTES, DAILY_TEMP, SITE_TEMP,
-    views=(*SOLAR_BASE, "air_temperature", "site_stations")))
+        FROM site_temp WHERE GHI_T IS NOT NULL)) WHERE GHI_T IS NOT NULL""")
+TEMPERATURE_VIEWS = (*SOLAR_BASE, "air_temperature", "site_stations")
+
+
+@register("peak_power_regression", with_views(
+    "SELECT site_id, day, max_P_kw, round(max_P_kw_pred, 5) AS max_P_kw_pred FROM predicted",
+    *PEAK_CTES, DAILY_TEMP, SITE_TEMP, PREDICTED, views=TEMPERATURE_VIEWS))
 def _regression(spark, sf_dir):
     rows = stage(site_temperatures(spark, sf_dir), "site-temperatures")
     return estimator.peak_power_predictions(rows).select(
         "site_id", "day", "max_P_kw", F.round("max_P_kw_pred", 5).alias("max_P_kw_pred"))
+
+
+@register("peak_power_regression_quality", with_views("""
+SELECT COUNT(*) AS n, round(1 - SUM((max_P_kw - max_P_kw_pred) * (max_P_kw - max_P_kw_pred)) / nullif(var_pop(max_P_kw) * COUNT(*), 0), 5) AS r2,
+       round(SUM(abs(max_P_kw - max_P_kw_pred)), 4) AS abs_error FROM predicted""",
+    *PEAK_CTES, DAILY_TEMP, SITE_TEMP, PREDICTED, views=TEMPERATURE_VIEWS))
+def _regression_quality(spark, sf_dir):
+    rows = stage(site_temperatures(spark, sf_dir), "site-temperatures")
+    quality = estimator.regression_quality(estimator.peak_power_predictions(rows))
+    return quality.select("n", F.round("r2", 5).alias("r2"), F.round("abs_error", 4).alias("abs_error"))

@@ -10,6 +10,7 @@ from pvgrid.operators import edp, quality, spatial
 from pvgrid.plans import views
 from pvgrid.plans.registry import register
 from pvgrid.plans.sql_views import mic, q6, with_views, xavg, xsum
+from pvgrid.session import stage
 
 D2 = "(l.longitude - s.longitude) * (l.longitude - s.longitude) + (l.latitude - s.latitude) * (l.latitude - s.latitude)"
 RANKED = ("ranked", f"""SELECT *, {q6('sqrt(d2) * 111')} AS distance_km, row_number() OVER (PARTITION BY point_id ORDER BY d2, station_number) AS rank
@@ -170,7 +171,7 @@ def _interpolated(spark, sf_dir):
     missing = F.pmod(F.unix_timestamp("time") / 300, F.lit(5)) < 2
     rows = processed(spark, sf_dir).select(
         "time", "edp_site_id", "postcode", F.when(~missing, F.col("active_power")).alias("active_power"), "voltage_avg")
-    filled = edp.interpolate_time(rows, ("postcode",), "time", ("active_power", "voltage_avg"), tie=("edp_site_id",))
+    filled = edp.interpolate_time(stage(rows, "edp-rows"), ("postcode",), "time", ("active_power", "voltage_avg"), tie=("edp_site_id",))
     return filled.withColumns({c: quantise(F.col(c)) for c in ("active_power", "voltage_avg")})
 
 
