@@ -87,7 +87,8 @@ def interpolate_time(df: DataFrame, keys: tuple[str, ...], time: str, values: tu
     """Fill the first missing value of every gap by time-weighted interpolation.
 
     After the last known value the fill holds it; before the first nothing is filled.
-    Series are cut into days: a window covers one key and day, and what a day needs from
+    ``keys`` name one series (postcode and site for a fleet); ``tie`` orders equal times.
+    Series are cut into days: a window covers one series and day, and what a day needs from
     its neighbours (the row before it, the first known value after it) comes from a
     one-row summary per day. The input is read twice; stage it when it is expensive.
     """

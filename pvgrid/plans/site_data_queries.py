@@ -165,13 +165,14 @@ FILL = """CASE WHEN {c} IS NOT NULL OR lag({c}) OVER w IS NULL THEN {c}
 SELECT time, edp_site_id, postcode, {q6(FILL.format(c='active_power'))} AS active_power, {q6(FILL.format(c='voltage_avg'))} AS voltage_avg
 FROM (SELECT *, {', '.join(f'''first_value(CASE WHEN {c} IS NOT NULL THEN time END IGNORE NULLS) OVER f AS nt{c},
   first_value({c} IGNORE NULLS) OVER f AS nv{c}''' for c in ('active_power', 'voltage_avg'))} FROM gappy
-  WINDOW f AS (PARTITION BY postcode ORDER BY time, edp_site_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-WINDOW w AS (PARTITION BY postcode ORDER BY time, edp_site_id)""", RATING, EDP, GAPPY, views=EDP_VIEWS))
+  WINDOW f AS (PARTITION BY postcode, edp_site_id ORDER BY time ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+WINDOW w AS (PARTITION BY postcode, edp_site_id ORDER BY time)""", RATING, EDP, GAPPY, views=EDP_VIEWS))
 def _interpolated(spark, sf_dir):
     missing = F.pmod(F.unix_timestamp("time") / 300, F.lit(5)) < 2
     rows = processed(spark, sf_dir).select(
         "time", "edp_site_id", "postcode", F.when(~missing, F.col("active_power")).alias("active_power"), "voltage_avg")
-    filled = edp.interpolate_time(stage(rows, "edp-rows"), ("postcode",), "time", ("active_power", "voltage_avg"), tie=("edp_site_id",))
+    filled = edp.interpolate_time(stage(rows, "edp-rows"), ("postcode", "edp_site_id"), "time",
+                                  ("active_power", "voltage_avg"))
     return filled.withColumns({c: quantise(F.col(c)) for c in ("active_power", "voltage_avg")})
 
 

@@ -15,6 +15,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Parquet files unpack to several times their size; judge broadcasts by the latter.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 # Settings only a new session can take: plan building without a stack trace per column.
