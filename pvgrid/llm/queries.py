@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from pvgrid.llm.common import table
 from pvgrid.llm.decontaminate import decontaminate
+from pvgrid.llm.exactdedup import exact_duplicates
 from pvgrid.llm.linedup import drop_repeated_lines
+from pvgrid.llm.mixing import mix
 from pvgrid.llm.planes import token_digest
 from pvgrid.llm.simhash import near_duplicates
 from pvgrid.session import prepare
@@ -51,6 +53,44 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target of the source and words taken of every document."""
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src, md5(CAST(doc_id AS VARCHAR)) AS place,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+    FROM documents),
+s AS (
+    SELECT *, 1 + (row_number() OVER (ORDER BY no_src, src) - 1) % 3 AS weight
+    FROM (SELECT src, no_src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src, no_src)),
+n AS (SELECT *, 3 * source_size / CAST(weight AS DOUBLE) AS need, (SELECT sum(source_size) FROM s) AS budget FROM s),
+l AS (
+    SELECT *, need < (budget - coalesce(sum(3 * source_size) OVER below, 0))
+                     / CAST((SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER below, 0) AS DOUBLE) AS is_full
+    FROM n WINDOW below AS (ORDER BY need, no_src, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+    SELECT src, no_src, source_size, CAST(budget AS BIGINT) AS budget,
+           CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE)
+                ELSE weight * ((budget - (SELECT coalesce(sum(3 * source_size), 0) FROM l WHERE is_full))
+                               / CAST((SELECT sum(weight) FROM l WHERE NOT is_full) AS DOUBLE)) END AS target
+    FROM l),
+p AS (
+    SELECT d.*, source_size, target, budget, sum(size) OVER (PARTITION BY src, no_src ORDER BY place) AS upto
+    FROM d JOIN t USING (src, no_src)),
+c AS (
+    SELECT p.*, epoch, (epoch * source_size + upto) / target AS finish
+    FROM p, (SELECT unnest([0, 1, 2]) AS epoch) WHERE target > 0),
+o AS (SELECT *, sum(size) OVER (ORDER BY finish, no_src, src, epoch, place) AS spent FROM c),
+k AS (SELECT doc_id, count(*) AS copies FROM o WHERE spent <= budget GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken
+FROM p LEFT JOIN k USING (doc_id)
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -62,6 +102,21 @@ def op8_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays for every document, and the size of its group."""
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = f"""
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, translate(coalesce(text, ''), {WHITE}, '') AS norm FROM documents),
+r AS (
+    SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
+           count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
+"""
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, dropped lines and the check sum of what is left of every document."""
     found = drop_repeated_lines(table(spark, sf_dir, "documents"))
@@ -80,9 +135,9 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
-_BUILD = {f.__name__: f for f in (op1_decontaminate, op7_simhash, op8_planes, op10_lines)}
+_BUILD = {f.__name__: f for f in (op1_decontaminate, op6_mixing, op7_simhash, op8_planes, op9_exact, op10_lines)}
 
-SQL = {"op1_decontaminate": OP1_SQL, "op10_lines": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op6_mixing": OP6_SQL, "op9_exact": OP9_SQL, "op10_lines": OP10_SQL}
 
 
 def _prepared(build):
