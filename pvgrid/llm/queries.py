@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from pvgrid.llm.common import table
 from pvgrid.llm.decontaminate import decontaminate
 from pvgrid.llm.exactdedup import exact_duplicates
+from pvgrid.llm.lattice import score_documents
 from pvgrid.llm.linedup import drop_repeated_lines
 from pvgrid.llm.mixing import mix
 from pvgrid.llm.planes import token_digest
+from pvgrid.llm.quality import score_quality
 from pvgrid.llm.simhash import near_duplicates
+from pvgrid.llm.toolcalls import link_tool_calls
+from pvgrid.llm.toxicity import score_toxicity
 from pvgrid.session import prepare
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -53,6 +58,99 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from two views."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice log probability of every document."""
+    return score_documents(table(spark, sf_dir, "documents"), PIECES)
+
+
+# Tools, their parameters, types, and whether they are required.
+TOOLS = (("search", "query", "string", True), ("search", "limit", "integer", True),
+         ("lookup", "key", "string", True), ("lookup", "exact", "boolean", False), ("lookup", "share", "number", False))
+
+
+def tool_calls(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read off a conversation: an assistant's turn calls a tool, the user's next is its result.
+
+    Every seventh conversation forgets a required argument, every fifth gives a number as text, every
+    eleventh breaks the JSON, and every fourth call is for a tool that doesn't exist. A call needs the call
+    two turns earlier.
+    """
+    name = "element_at(array('search', 'lookup', 'shell', 'search'), CAST(pmod(conv_id + turn, 4) AS INT) + 1)"
+    json = f"""CASE {name}
+        WHEN 'lookup' THEN to_json(named_struct('share', length(text) / 8, 'key', IF(conv_id % 7 = 0, NULL, text), 'exact', turn % 3 = 0))
+        WHEN 'search' THEN IF(conv_id % 5 = 0, to_json(named_struct('query', text, 'limit', CAST(length(text) AS STRING))),
+                              to_json(named_struct('query', text, 'limit', length(text))))
+        ELSE to_json(named_struct('line', text)) END"""
+    calls = (chats.where("role = 'assistant'").withColumn("json", F.expr(json))
+             .selectExpr("conv_id", "concat('c', conv_id, '-', turn) AS call_id", "turn", f"{name} AS name",
+                         "IF(conv_id % 11 = 0, substring(json, 1, length(json) - 1), concat('{ ', substring(json, 2))) AS arguments",
+                         "IF(turn >= 2, concat('c', conv_id, '-', turn - 2), NULL) AS depends_on"))
+    results = (chats.where("role = 'user' AND turn > 0")
+               .selectExpr("conv_id", "concat('c', conv_id, '-', turn - 1) AS call_id", "turn", "text AS content"))
+    return calls, results
+
+
+def op5_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered, checked and serialised tool calls of all conversations."""
+    calls, results = tool_calls(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(list(TOOLS), "name string, param string, type string, required boolean")
+    return link_tool_calls(calls, results, schemas)
+
+
+OP5_SQL = """
+WITH RECURSIVE calls AS (
+    SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, turn, text,
+           CASE (conv_id + turn) % 4 WHEN 1 THEN 'lookup' WHEN 2 THEN 'shell' ELSE 'search' END AS name,
+           CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS depends_on
+    FROM conversations WHERE role = 'assistant'),
+results AS (
+    SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, text AS content
+    FROM conversations WHERE role = 'user' AND turn > 0),
+chain AS (
+    SELECT call_id, CAST(0 AS BIGINT) AS level FROM calls
+    WHERE depends_on IS NULL OR depends_on NOT IN (SELECT call_id FROM calls)
+    UNION ALL
+    SELECT c.call_id, level + 1 FROM calls c JOIN chain p ON c.depends_on = p.call_id),
+checked AS (
+    SELECT c.*, level, d.call_id IS NULL AND c.depends_on IS NOT NULL AS lost,
+           CASE WHEN name = 'shell' THEN 'unknown_tool' WHEN conv_id % 11 = 0 THEN 'not_json'
+                WHEN name = 'lookup' AND conv_id % 7 = 0 THEN 'missing:key'
+                WHEN name = 'search' AND conv_id % 5 = 0 THEN 'type:limit' END AS wrong,
+           CASE WHEN conv_id % 11 = 0 THEN NULL
+                WHEN name = 'shell' THEN '{"line":' || to_json(text) || '}'
+                WHEN name = 'lookup' THEN '{"exact":' || CASE WHEN turn % 3 = 0 THEN 'true' ELSE 'false' END
+                    || CASE WHEN conv_id % 7 = 0 THEN '' ELSE ',"key":' || to_json(text) END
+                    || ',"share":' || regexp_replace(CAST(length(text) / 8 AS VARCHAR), '[.]0$', '') || '}'
+                ELSE '{"limit":' || CASE WHEN conv_id % 5 = 0 THEN '"' || length(text) || '"' ELSE CAST(length(text) AS VARCHAR) END
+                    || ',"query":' || to_json(text) || '}' END AS args
+    FROM calls c JOIN chain USING (call_id) LEFT JOIN (SELECT call_id FROM calls) d ON c.depends_on = d.call_id),
+linked AS (
+    SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, turn, level, name, depends_on,
+           args, content, c.call_id IS NOT NULL AS is_call, r.call_id IS NOT NULL AS is_result,
+           concat_ws(',', wrong, CASE WHEN lost THEN 'missing_call' END) AS errors
+    FROM checked c FULL JOIN results r ON c.call_id = r.call_id)
+SELECT conv_id, call_id, turn, level,
+       CASE WHEN NOT is_call THEN 'orphan_result' WHEN is_result THEN 'answered' ELSE 'unanswered' END AS state,
+       CASE WHEN is_call THEN CAST(1 AS BIGINT) END AS n_calls, CASE WHEN is_result THEN CAST(1 AS BIGINT) END AS n_results,
+       CASE WHEN is_call THEN errors = '' END AS valid, CASE WHEN is_call THEN errors END AS errors,
+       '{' || concat_ws(',', '"arguments":' || args, '"depends_on":"' || depends_on || '"', '"id":"' || call_id || '"',
+                        '"level":' || level, '"name":"' || name || '"', '"result":' || to_json(content), '"turn":' || turn)
+       || '}' AS canonical_json
+FROM linked
+"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, target of the source and words taken of every document."""
     found = mix(table(spark, sf_dir, "documents"))
@@ -135,9 +233,11 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
-_BUILD = {f.__name__: f for f in (op1_decontaminate, op6_mixing, op7_simhash, op8_planes, op9_exact, op10_lines)}
+_BUILD = {f.__name__: f for f in (
+    op1_decontaminate, op2_quality, op3_toxicity, op4_lattice, op5_toolcalls, op6_mixing, op7_simhash, op8_planes, op9_exact,
+    op10_lines)}
 
-SQL = {"op1_decontaminate": OP1_SQL, "op6_mixing": OP6_SQL, "op9_exact": OP9_SQL, "op10_lines": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op5_toolcalls": OP5_SQL, "op6_mixing": OP6_SQL, "op9_exact": OP9_SQL, "op10_lines": OP10_SQL}
 
 
 def _prepared(build):
