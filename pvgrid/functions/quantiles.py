@@ -16,6 +16,11 @@ def group_quantile(x: Column, p: float) -> Column:
 def frame_quantile(x: Column, ordered: WindowSpec, p: float = 0.6, before: int = 3, after: int = 3) -> Column:
     """Quantile over the rows ``before`` .. ``after`` of the current row, nulls ignored.
 
-    For frames this short the sketch holds every value, so the result is exact.
+    The frame is an array of neighbours that is sorted per row: plain expressions over
+    one window, no sketch. The value is the least one that at least ``p`` of the frame's
+    values don't exceed.
     """
-    return group_quantile(x, p).over(ordered.rowsBetween(-before, after))
+    frame = F.array(*[F.lag(x, -k).over(ordered) if k < 0 else F.lead(x, k).over(ordered) if k else x
+                      for k in range(-before, after + 1)])
+    known = F.array_sort(F.filter(frame, lambda v: v.isNotNull()))
+    return F.get(known, F.greatest(F.ceil(F.size(known) * F.lit(p)) - 1, F.lit(0)).cast("int"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvgrid.functions.curves import apparent_power, voltvar_q, voltwatt_limit
-from pvgrid.functions.exact import exact_avg, exact_sum, micro, strict_greatest
+from pvgrid.functions.exact import exact_avg, exact_sum, micro_sum, strict_greatest
+from pvgrid.functions.previous import with_previous
 
 
 def edp_site_rating(sites: DataFrame, postcodes: DataFrame, state: str = "SA") -> DataFrame:
@@ -18,10 +19,22 @@ def edp_site_rating(sites: DataFrame, postcodes: DataFrame, state: str = "SA") -
             .agg(exact_sum(rating).alias("Srated")))
 
 
+def _set_point(v: Column, s: Column, missing_voltage: str) -> Column:
+    if missing_voltage == "null":
+        return voltvar_q(v, s)
+    if missing_voltage == "absorb":
+        return F.when(v.isNull(), s * F.lit(-0.6)).otherwise(voltvar_q(v, s))
+    raise ValueError(f"unknown treatment {missing_voltage!r}")
+
+
 def process_edp(readings: DataFrame, ratings: DataFrame, offset_minutes: int = 570,
-                band: float = 0.05) -> DataFrame:
+                band: float = 0.05, missing_voltage: str = "null") -> DataFrame:
     """Site rows with power, limits and deviations; local times become UTC.
 
+    ``missing_voltage`` says what the reactive set-point is without a voltage: "null"
+    (unknown, so no deviation either) or "absorb" (the last step of the curve, -0.6 S, where
+    comparisons that all fail end; such rows then count as deviating).
+
     P_noncomp is the power above the volt-watt limit, Q_noncomp the distance between the
     set-point error and the band (positive inside the band too). ``wrong_on_maxP`` marks
     sites that ever exceed their rating. Rows without rating or postcode are left out.
@@ -32,24 +45,23 @@ def process_edp(readings: DataFrame, ratings: DataFrame, offset_minutes: int = 5
                           "time": F.timestamp_add("MINUTE", F.lit(-offset_minutes), F.col("datetime"))})
             .join(ratings, "edp_site_id"))
     site = rows.groupBy("time", "edp_site_id", "postcode", "Srated").agg(
-        (F.coalesce(F.sum(micro(F.col("real_energy"))), F.lit(0)) * 12 / F.lit(1e9)).alias("active_power"),
-        (F.coalesce(F.sum(micro(F.col("reactive_energy"))), F.lit(0)) * 12 / F.lit(1e9)).alias("reactive_power"),
+        (F.coalesce(micro_sum(F.col("real_energy")), F.lit(0)) * 12 / F.lit(1e9)).alias("active_power"),
+        (F.coalesce(micro_sum(F.col("reactive_energy")), F.lit(0)) * 12 / F.lit(1e9)).alias("reactive_power"),
         F.coalesce(exact_sum(F.col("current_avg")), F.lit(0.0)).alias("current_avg"),
         exact_avg(F.col("voltage_avg")).alias("voltage_avg"))
     s, p, q, v = (F.col(c) for c in ("Srated", "active_power", "reactive_power", "voltage_avg"))
     site = site.withColumns({
         "apparent_power": apparent_power(p, q),
         "P_threshold": voltwatt_limit(v, s),
-        "Q_voltvar": voltvar_q(v, s)})
+        "Q_voltvar": _set_point(v, s, missing_voltage)})
     margin = s * F.lit(band)
     site = site.withColumns({
         "P_noncomp": strict_greatest(p - F.col("P_threshold"), F.lit(0.0)),
         "Q_voltvar_max": F.col("Q_voltvar") + margin,
         "Q_voltvar_min": F.col("Q_voltvar") - margin,
         "Q_noncomp": F.abs(F.abs(q - F.col("Q_voltvar")) - margin)})
-    # rows are one per site and time here, so the window is bounded by the sampling grid
-    ever = F.max(F.col("active_power") > F.col("Srated")).over(Window.partitionBy("edp_site_id"))
-    return site.withColumn("wrong_on_maxP", ever)
+    ever = site.groupBy("edp_site_id").agg(F.max(F.col("active_power") > F.col("Srated")).alias("wrong_on_maxP"))
+    return site.join(ever, "edp_site_id").select(*site.columns, "wrong_on_maxP")
 
 
 def reactive_ranking(edp: DataFrame) -> DataFrame:
@@ -70,11 +82,10 @@ def active_ranking(edp: DataFrame, above_v: float | None = None) -> DataFrame:
 def trip_events(edp: DataFrame, loose: bool = False) -> DataFrame:
     """Rows where power falls to zero at high voltage.
 
-    Rows are one per site and time, so a site's window is bounded by the sampling grid.
-    The drop is rounded half to even, as a whole kW.
+    Rows are one per site and time. The drop is rounded half to even, as a whole kW.
     """
-    w = Window.partitionBy("edp_site_id").orderBy("time")
-    rows = edp.withColumn("DP", F.col("active_power") - F.lag("active_power").over(w))
+    rows = with_previous(edp, ("edp_site_id",), "time", {"_before_power": "active_power"})
+    rows = rows.withColumn("DP", F.col("active_power") - F.col("_before_power")).drop("_before_power")
     rows = rows.withColumn("DP_r", F.bround(F.when(F.col("DP").isNotNull(), F.least(F.col("DP"), F.lit(0.0)))))
     p, v, drop = F.col("active_power"), F.col("voltage_avg"), F.col("DP_r")
     if loose:
@@ -134,6 +145,16 @@ def interpolate_time(df: DataFrame, keys: tuple[str, ...], time: str, values: tu
     return rows.withColumns(filled).select(*[c for c in df.columns if c != "_chunk"])
 
 
+def fill_with_irradiance(edp: DataFrame, irradiance: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """Site rows next to their postcode's irradiance, gaps of all ``values`` filled per postcode and site.
+
+    ``irradiance`` has one row per time and postcode; its times are coarser, so most site
+    rows have none until the first one of a gap is interpolated.
+    """
+    joined = edp.join(irradiance, ["time", "postcode"], "left")
+    return interpolate_time(joined, ("postcode", "edp_site_id"), "time", values)
+
+
 def multi_circuit_sites(readings: DataFrame) -> DataFrame:
     """First reading of every PV circuit of the sites that have more than one."""
     columns = [c for c in readings.columns if c not in ("edp_site_id", "edp_circuit_label")]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvgrid.functions.exact import exact_avg, micro
+from pvgrid.functions.previous import with_previous
 from pvgrid.functions.quantiles import group_quantile
 
 
@@ -23,12 +24,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def _steps(df: DataFrame, key: str, time: str) -> DataFrame:
     """Seconds since the previous reading of the key; copies of a reading are 0 apart.
 
-    Equal time stamps are combined first, so a window holds distinct times only.
+    Equal time stamps are combined first, and a window holds one key and day only.
     """
     times = df.groupBy(key, time).agg(F.count("*").alias("copies"))
-    w = Window.partitionBy(key).orderBy(time)
-    step = F.unix_timestamp(time) - F.unix_timestamp(F.lag(time).over(w))
-    return times.withColumn("step", step)
+    times = with_previous(times, (key,), time, {"_before_time": time})
+    step = F.unix_timestamp(time) - F.unix_timestamp("_before_time")
+    return times.withColumn("step", step).drop("_before_time")
 
 
 def sampling_interval(ts: DataFrame, key: str = "circuit_id", time: str = "t_stamp") -> DataFrame:
@@ -43,8 +44,10 @@ def step_quantile(df: DataFrame, key: str = "postcode", time: str = "time", p: f
     return _steps(df, key, time).groupBy(key).agg(F.percentile("step", F.lit(p)).alias("step_seconds"))
 
 
-def voltage_outliers(ts: DataFrame, below: float | None = 0, above: float | None = None) -> DataFrame:
-    """Readings outside the given voltage per circuit, most first."""
+def voltage_outliers(ts: DataFrame, below: float | None = 0, above: float | None = None,
+                     pv_only: bool = True) -> DataFrame:
+    """Readings outside the given voltage per PV circuit (or per circuit), most first."""
+    ts = ts.where("is_pv") if pv_only else ts
     v = F.col("voltage")
     cond = F.lit(False)
     if below is not None:

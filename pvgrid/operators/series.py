@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pvgrid.functions.previous import with_previous
+
 
 def add_total_group(df: DataFrame, time: str, group: str, totals: dict[str, Column],
                     label: str = "All") -> DataFrame:
@@ -40,9 +42,8 @@ def period_series(df: DataFrame, time: str, group: str, attributes: tuple[str, .
 
 def sampling_steps(df: DataFrame, group: str, time: str) -> DataFrame:
     """Most frequent step in seconds per group, and whether steps are mixed."""
-    times = df.select(group, time).distinct()
-    w = Window.partitionBy(group).orderBy(time)
-    steps = times.withColumn("step", F.unix_timestamp(time) - F.unix_timestamp(F.lag(time).over(w)))
+    times = with_previous(df.select(group, time).distinct(), (group,), time, {"_before_time": time})
+    steps = times.withColumn("step", F.unix_timestamp(time) - F.unix_timestamp("_before_time"))
     counts = steps.where(F.col("step").isNotNull()).groupBy(group, "step").agg(F.count("*").alias("n"))
     return counts.groupBy(group).agg(
         F.max_by("step", F.struct("n", -F.col("step"))).alias("step_seconds"),

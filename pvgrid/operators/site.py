@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvgrid.functions.curves import apparent_power
-from pvgrid.functions.exact import exact_avg, exact_sum, micro
+from pvgrid.functions.exact import exact_avg, exact_sum, micro, micro_sum
 
 STEPS_PER_HOUR = 12
 
@@ -75,7 +75,7 @@ def site_power(ts: DataFrame, meta: DataFrame, *, v_lo: float | None = 0, v_hi:
     volts = exact_avg(F.col("voltage")) if v_agg == "avg" else F.max(micro(F.col("voltage"))) / F.lit(1e6)
     aggs = [
         exact_sum(F.col("power") * pol, 1000.0).alias("P_kW"),
-        (F.sum(micro(F.col("energy_reactive") * pol)) * STEPS_PER_HOUR / F.lit(1e9)).alias("Q_kvar"),
+        (micro_sum(F.col("energy_reactive") * pol) * STEPS_PER_HOUR / F.lit(1e9)).alias("Q_kvar"),
         volts.alias("V"),
     ]
     if capacity == "max":
@@ -98,13 +98,13 @@ def site_power_by_role(ts: DataFrame, meta: DataFrame, *, v_lo: float = 0, v_hi:
     rows = circuit_readings(ts, meta, ("circuit_type", "ac_capacity_kw"), v_lo=v_lo, v_hi=v_hi,
                             pv_only=False)
     role = rows.groupBy("site_id", "t_stamp", "circuit_type", "ac_capacity_kw").agg(
-        F.sum(micro(F.col("power") * F.col("circuit_polarity"))).alias("P_micro"),
+        micro_sum(F.col("power") * F.col("circuit_polarity")).alias("P_micro"),
         exact_avg(F.col("voltage")).alias("V"))
     is_pv = F.col("circuit_type").like("pv_%")
     is_net = F.col("circuit_type") == "ac_load_net"
 
     def total(cond: Column) -> Column:
-        return F.sum(F.when(cond, F.col("P_micro"))) / F.lit(1e9)
+        return F.try_sum(F.when(cond, F.col("P_micro"))) / F.lit(1e9)
 
     return role.groupBy("site_id", "t_stamp", "ac_capacity_kw").agg(
         exact_avg(F.col("V")).alias("V"),

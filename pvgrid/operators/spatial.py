@@ -115,32 +115,48 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_key: str,
                        cell_degrees: float = 0.5) -> DataFrame:
     """Points with the polygon they lie strictly inside; points outside all are dropped.
 
-    ``polygons`` have ``vertices``, an array of (x, y) structs of one ring in order. A
-    polygon is listed under every grid cell its bounding box touches and meets only the
-    points of those cells. Points on an edge are not within.
+    ``polygons`` have ``vertices``, an array of (x, y) structs of one ring in order, and may
+    have a row per ring: parts and holes of one polygon share its key, and a point is within
+    if a ray from it crosses the rings' edges an odd number of times. Points on an edge are
+    not within.
+
+    A polygon meets only the points of the grid cells its bounding box touches. A cell keeps
+    the edges of its band of rows that don't lie left of it; those further right that cross
+    the whole band are only counted, as the rays of all points of the cell cross them.
     """
     v = F.col("vertices")
     size = F.size(v)
-    edges = F.transform(v, lambda a, i: F.struct(
+    ring = F.transform(v, lambda a, i: F.struct(
         a["x"].alias("x1"), a["y"].alias("y1"),
         F.get(v, (i + 1) % size)["x"].alias("x2"), F.get(v, (i + 1) % size)["y"].alias("y2")))
+    edges = F.col("edges")
+    polygons = polygons.select(polygon_key, ring.alias("ring")).groupBy(polygon_key).agg(
+        F.flatten(F.collect_list("ring")).alias("edges"))
 
     def cell(c: Column) -> Column:
         return F.floor(c / F.lit(cell_degrees))
 
-    def extent(axis: str) -> tuple[Column, Column]:
-        values = F.transform(v, lambda a: a[axis])
-        return F.array_min(values), F.array_max(values)
-
-    (ax, bx), (ay, by) = extent("x"), extent("y")
-    shapes = polygons.select(polygon_key, edges.alias("edges"), ax.alias("ax"), bx.alias("bx"),
-                             ay.alias("ay"), by.alias("by"))
-    shapes = shapes.withColumn("gx", F.explode(F.sequence(cell(F.col("ax")), cell(F.col("bx")))))
-    shapes = shapes.withColumn("gy", F.explode(F.sequence(cell(F.col("ay")), cell(F.col("by")))))
+    size_of = F.lit(cell_degrees)
+    one = polygons.select(polygon_key, F.explode(edges).alias("e")).withColumns({
+        "lo": F.least("e.y1", "e.y2"), "hi": F.greatest("e.y1", "e.y2")})
+    extent = one.groupBy(polygon_key).agg(F.min(F.least("e.x1", "e.x2")).alias("ax"), F.max(F.greatest("e.x1", "e.x2")).alias("bx"))
+    bands = (one.withColumn("gy", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+             .groupBy(polygon_key, "gy").agg(F.collect_list(F.struct("e", "lo", "hi")).alias("band")))
+    shapes = bands.join(extent, polygon_key).withColumn(
+        "gx", F.explode(F.sequence(cell(F.col("ax")), cell(F.col("bx")))))
+    left, right = F.col("gx") * size_of, (F.col("gx") + 1) * size_of
+    bottom, top = F.col("gy") * size_of, (F.col("gy") + 1) * size_of
+
+    def passed(b: Column) -> Column:  # crossed by the rays of all points of the cell
+        return (b["lo"] < bottom) & (b["hi"] > top) & (F.least(b["e"]["x1"], b["e"]["x2"]) > right)
+
+    shapes = shapes.select(
+        polygon_key, "gx", "gy", "ax", "bx", F.size(F.filter("band", passed)).alias("common"),
+        F.transform(F.filter("band", lambda b: ~passed(b) & (F.greatest(b["e"]["x1"], b["e"]["x2"]) >= left)),
+                    lambda b: b["e"]).alias("edges"))
     x, y = F.col("longitude"), F.col("latitude")
     located = points.where(x.isNotNull() & y.isNotNull()).withColumns({"gx": cell(x), "gy": cell(y)})
-    pairs = located.join(shapes, ["gx", "gy"]).where(
-        (x > F.col("ax")) & (x < F.col("bx")) & (y > F.col("ay")) & (y < F.col("by")))
+    pairs = located.join(shapes, ["gx", "gy"]).where((x > F.col("ax")) & (x < F.col("bx")))
 
     def crosses(e: Column) -> Column:
         at_y = F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
@@ -151,6 +167,6 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_key: str,
         return ((side == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    crossings = F.size(F.filter("edges", crosses))
+    crossings = F.col("common") + F.size(F.filter("edges", crosses))
     inside = (crossings % 2 == 1) & ~F.exists("edges", touches)
     return pairs.where(inside).select(*points.columns, polygon_key)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from pvgrid.operators import estimator
+from pvgrid.operators.site import site_power
 from pvgrid.session import stage
 
 
@@ -29,11 +30,30 @@ class Fitted:
         return estimator.voltwatt_uncurtailed(self.structured, self.model, self.accepted_sites())
 
 
+@dataclass
+class SiteRows:
+    """All PV sites' rows from one scan of the readings, staged; the eligible ones with their cell."""
+
+    every: DataFrame
+    eligible: DataFrame
+
+
+def site_rows(ts: DataFrame, meta: DataFrame) -> SiteRows:
+    """Aggregate the readings once for the reports and for the estimator, which skips flexible-export sites."""
+    rows = stage(site_power(ts, meta, cell=True), "site-rows")
+    wanted = meta.where("is_pv AND NOT flex_export_detected").select("site_id").distinct()
+    return SiteRows(rows.drop("latitude", "longitude"), rows.join(wanted, "site_id", "left_semi"))
+
+
 def fit(structured: DataFrame, fraction: float = 0.8, seed: int = 0) -> Fitted:
-    """Split days, label the rows and fit the model; each table later steps read is staged."""
+    """Split days, label the rows and fit the model; each table later steps read is staged.
+
+    The days are those of all unconstrained rows, also of days without a row that may
+    train; the training rows take their day's label.
+    """
     table = stage(structured, "structured")
+    days = estimator.split_days(estimator.eligible_rows(table, "split"), fraction, seed)
     rows = estimator.eligible_rows(table, "train")
-    days = estimator.split_days(rows, fraction, seed)
     labelled = stage(rows.join(days, ["site_id", "actual_day"]), "labelled")
     model = stage(estimator.fit_ghi_norm_model(labelled.where("day_type = 'train'")), "model")
     return Fitted(table, labelled, model)

@@ -9,9 +9,9 @@ from pvgrid.functions.exact import quantise
 from pvgrid.operators import clearsky, conformance, estimator, sequences, weather
 from pvgrid.operators.site import site_power
 from pvgrid.plans import views
-from pvgrid.plans.chain import Fitted, fit
-from pvgrid.plans.conformance_queries import (BANDS, BASE, DEVIATION, FLEX_ROWS, SITE, VOLTWATT, canonical_site,
-                                              flex_site, voltvar_rows_sql, voltvar_sql)
+from pvgrid.plans.chain import Fitted, fit, site_rows
+from pvgrid.plans.conformance_queries import (BANDS, BASE, DEVIATION, FLEX_ROWS, SITE, VOLTWATT, flex_site, voltvar_rows_sql,
+                                              voltvar_sql)
 from pvgrid.plans.registry import register
 from pvgrid.plans.sql_views import local_day, npos, q6, site, tod, with_views, xavg, xsum
 from pvgrid.session import stage
@@ -146,12 +146,15 @@ PEAKS = ("peaks", """SELECT r.site_id, r.day, MAX(GHI) AS max_GHI, MAX(P_kW) AS
 FROM rows_ r JOIN zero_days z ON z.latitude = r.latitude AND z.longitude = r.longitude AND z.day = r.day
 LEFT JOIN held h ON h.latitude = r.latitude AND h.longitude = r.longitude AND h.t_stamp = r.t_stamp GROUP BY r.site_id, r.day""")
 PEAK_SITE = ("site", site("voltage >= 200 AND voltage <= 300"))
-PEAK_CTES = (PEAK_SITE, CELLS, GRID, HELD, DAILY, ZERO_DAYS, ROWS, PEAKS)
+PEAK_CELLS = ("cells", "SELECT DISTINCT site_id, n_lat AS latitude, n_long AS longitude FROM meta WHERE is_pv")
+PEAK_CTES = (PEAK_SITE, PEAK_CELLS, GRID, HELD, DAILY, ZERO_DAYS, ROWS, PEAKS)
 
 
 def peaks(spark, sf_dir) -> DataFrame:
-    rows = site_power(views.ts(spark, sf_dir), eligible_meta(spark, sf_dir), v_lo=200, inclusive=True, cell=True)
-    return clearsky.clear_day_peaks(rows, grid(spark, sf_dir))
+    """Peaks of all PV sites; flexible export is no reason to leave a site out here."""
+    meta = views.meta(spark, sf_dir).where("is_pv")
+    rows = site_power(views.ts(spark, sf_dir), meta, v_lo=200, inclusive=True, cell=True)
+    return clearsky.clear_day_peaks(rows, clearsky.grid_of_sites(views.solar(spark, sf_dir), clearsky.site_cells(meta)))
 
 
 @register("clear_day_peaks", with_views("SELECT * FROM peaks", *PEAK_CTES, views=SOLAR_BASE))
@@ -174,7 +177,7 @@ WINDOW w AS (PARTITION BY site_id, s.day, segment_id ORDER BY s.t_stamp ROWS BET
     views=SOLAR_BASE))
 def _series(spark, sf_dir):
     rows = stage(flex_site(spark, sf_dir, cell=True), "site-rows")
-    chosen = rows.join(sequences.flex_export_sites(rows).select("site_id").distinct(), "site_id", "left_semi")
+    chosen = stage(rows.join(sequences.flex_export_sites(rows).select("site_id").distinct(), "site_id", "left_semi"), "chosen-rows")
     chosen_cells = chosen.select("latitude", "longitude").distinct()
     return clearsky.clear_day_series(chosen, clearsky.grid_of_sites(views.solar(spark, sf_dir), chosen_cells))
 
@@ -238,7 +241,7 @@ def _varied(f: str, driver: str) -> str:
 TRAINVAL = ("trainval", "SELECT e.*, day_type FROM el e JOIN split_ USING (site_id, actual_day)")
 MODEL = ("model", "SELECT site_id, tod_bin, 1e0 - b AS a, b, n FROM (SELECT site_id, tod_bin, "
                   f"{_varied('regr_slope(y, x)', 'x')} AS b, COUNT(*) AS n FROM trainval WHERE day_type = 'train' GROUP BY ALL)")
-FIT = (*SKY, eligible("el", "train"), split_sql("el"), TRAINVAL, MODEL)
+FIT = (*SKY, eligible("el", "train"), eligible("free", "split"), split_sql("free"), TRAINVAL, MODEL)
 
 
 def fitted(spark, sf_dir) -> Fitted:
@@ -358,6 +361,12 @@ def voltwatt_uncurtailed(spark, sf_dir) -> DataFrame:
     return fitted(spark, sf_dir).voltwatt_uncurtailed()
 
 
+def rows_and_chain(spark, sf_dir) -> tuple[DataFrame, Fitted]:
+    """Site rows of the reports and the fitted chain, from one scan of the readings."""
+    rows = site_rows(views.ts(spark, sf_dir), views.meta(spark, sf_dir))
+    return rows.every, fit(clearsky.structured_data(rows.eligible, grid(spark, sf_dir)))
+
+
 @register("all_uncurtailed", with_views("SELECT * FROM all_u", *CHAIN, ALL_U, views=SOLAR_BASE))
 def _all_uncurtailed(spark, sf_dir):
     return all_uncurtailed(spark, sf_dir)
@@ -379,14 +388,16 @@ SELECT year, month, day, site_id, {xsum('P_kW')} AS P_kW_sum, {xsum('nc')} AS no
 FROM (SELECT *, CASE WHEN tested THEN excess END AS nc, CASE WHEN lost THEN u - P_kW END AS ct FROM vwg)
 GROUP BY year, month, day, site_id""", *CHAIN, VW_U, VOLTWATT, TESTED, views=SOLAR_BASE))
 def _voltwatt_ghi(spark, sf_dir):
-    return conformance.voltwatt_conformance_ghi(canonical_site(spark, sf_dir), voltwatt_uncurtailed(spark, sf_dir))
+    rows, chain = rows_and_chain(spark, sf_dir)
+    return conformance.voltwatt_conformance_ghi(rows, chain.voltwatt_uncurtailed())
 
 
 @register("voltwatt_low_irradiance_rows", with_views(
     "SELECT site_id, t_stamp, P_kW, u AS uncurtailed_P, V, ac_capacity_kw, P_limit FROM vwg WHERE u < P_limit AND excess = 0",
     *CHAIN, VW_U, VOLTWATT, TESTED, views=SOLAR_BASE))
 def _low_irradiance(spark, sf_dir):
-    return conformance.voltwatt_low_irradiance_rows(canonical_site(spark, sf_dir), voltwatt_uncurtailed(spark, sf_dir))
+    rows, chain = rows_and_chain(spark, sf_dir)
+    return conformance.voltwatt_low_irradiance_rows(rows, chain.voltwatt_uncurtailed())
 
 
 @register("voltwatt_curtailment", with_views(f"""
@@ -396,14 +407,16 @@ SELECT year, month, day, site_id, {xsum('excess')} AS nonconformance_voltwattghi
 FROM (SELECT *, CASE WHEN lost THEN u - P_kW ELSE 0e0 END AS ct FROM vwg WHERE tested)
 GROUP BY year, month, day, site_id""", *CHAIN, VW_U, VOLTWATT, TESTED, views=SOLAR_BASE))
 def _voltwatt_curtailment(spark, sf_dir):
-    return conformance.voltwatt_curtailment(canonical_site(spark, sf_dir), voltwatt_uncurtailed(spark, sf_dir))
+    rows, chain = rows_and_chain(spark, sf_dir)
+    return conformance.voltwatt_curtailment(rows, chain.voltwatt_uncurtailed())
 
 
 @register("voltvar_conformance_curtailment", with_views("SELECT * FROM conf", *CHAIN, ALL_U, BANDS, DEVIATION, (
     "vv", voltvar_rows_sql("uncurtailed_P", "LEFT JOIN all_u ON all_u.site_id = dev.site_id AND all_u.t_stamp = dev.t_stamp")),
     ("conf", voltvar_sql("vv")), views=SOLAR_BASE))
 def _voltvar_curtailment(spark, sf_dir):
-    return conformance.voltvar_conformance(canonical_site(spark, sf_dir), all_uncurtailed(spark, sf_dir))
+    rows, chain = rows_and_chain(spark, sf_dir)
+    return conformance.voltvar_conformance(rows, chain.all_uncurtailed())
 
 
 def _series_sql(source: str, driver: str, where: str = "true") -> str:
@@ -454,15 +467,17 @@ def _below(spark, sf_dir):
 
 # --- weather -------------------------------------------------------------------
 
-DAILY_TEMP = ("station_temp", """SELECT station_number, CAST(datetime AS DATE) AS day, MAX(temp) AS temp FROM air_temperature
-WHERE year(datetime) = 2024 AND hour(datetime) BETWEEN 10 AND 14 AND station_number IN (SELECT station_1 FROM site_stations)
-GROUP BY ALL""")
+DAILY_TEMP = ("station_temp", """SELECT station_number, day, temp FROM (
+  SELECT state_table, station_number, CAST(datetime AS DATE) AS day, MAX(temp) AS temp FROM air_temperature
+  WHERE year(datetime) = 2024 AND hour(datetime) BETWEEN 10 AND 14 AND station_number IN (SELECT station_1 FROM site_stations)
+  GROUP BY ALL)""")
 SITE_TEMP = ("site_temp", """SELECT p.day, max_P_kw, max_GHI, coalesce(a.temp, b.temp, c.temp) AS temp, p.site_id,
   max_GHI * coalesce(a.temp, b.temp, c.temp) AS GHI_T
 FROM peaks p JOIN site_stations s ON s.site_id = p.site_id
-LEFT JOIN station_temp a ON a.station_number = s.station_1 AND a.day = p.day
-LEFT JOIN station_temp b ON b.station_number = s.station_2 AND b.day = p.day
-LEFT JOIN station_temp c ON c.station_number = s.station_3 AND c.day = p.day""")
+LEFT JOIN station_day a ON a.station_number = s.station_1 AND a.day = p.day
+LEFT JOIN station_day b ON b.station_number = s.station_2 AND b.day = p.day
+LEFT JOIN station_day c ON c.station_number = s.station_3 AND c.day = p.day""")
+STATION_DAY = ("station_day", "SELECT station_number, day, MAX(temp) AS temp FROM station_temp GROUP BY ALL")
 
 
 def station_temp(spark, sf_dir) -> DataFrame:
@@ -481,7 +496,7 @@ def _station_temp(spark, sf_dir):
     return station_temp(spark, sf_dir)
 
 
-@register("site_temperature_fallback", with_views("SELECT * FROM site_temp", *PEAK_CTES, DAILY_TEMP, SITE_TEMP,
+@register("site_temperature_fallback", with_views("SELECT * FROM site_temp", *PEAK_CTES, DAILY_TEMP, STATION_DAY, SITE_TEMP,
                                                   views=(*SOLAR_BASE, "air_temperature", "site_stations")))
 def _site_temp(spark, sf_dir):
     return site_temperatures(spark, sf_dir)
@@ -499,7 +514,7 @@ TEMPERATURE_VIEWS = (*SOLAR_BASE, "air_temperature", "site_stations")
 
 @register("peak_power_regression", with_views(
     "SELECT site_id, day, max_P_kw, round(max_P_kw_pred, 5) AS max_P_kw_pred FROM predicted",
-    *PEAK_CTES, DAILY_TEMP, SITE_TEMP, PREDICTED, views=TEMPERATURE_VIEWS))
+    *PEAK_CTES, DAILY_TEMP, STATION_DAY, SITE_TEMP, PREDICTED, views=TEMPERATURE_VIEWS))
 def _regression(spark, sf_dir):
     rows = stage(site_temperatures(spark, sf_dir), "site-temperatures")
     return estimator.peak_power_predictions(rows).select(
@@ -509,7 +524,7 @@ def _regression(spark, sf_dir):
 @register("peak_power_regression_quality", with_views("""
 SELECT COUNT(*) AS n, round(1 - SUM((max_P_kw - max_P_kw_pred) * (max_P_kw - max_P_kw_pred)) / nullif(var_pop(max_P_kw) * COUNT(*), 0), 5) AS r2,
        round(SUM(abs(max_P_kw - max_P_kw_pred)), 4) AS abs_error FROM predicted""",
-    *PEAK_CTES, DAILY_TEMP, SITE_TEMP, PREDICTED, views=TEMPERATURE_VIEWS))
+    *PEAK_CTES, DAILY_TEMP, STATION_DAY, SITE_TEMP, PREDICTED, views=TEMPERATURE_VIEWS))
 def _regression_quality(spark, sf_dir):
     rows = stage(site_temperatures(spark, sf_dir), "site-temperatures")
     quality = estimator.regression_quality(estimator.peak_power_predictions(rows))

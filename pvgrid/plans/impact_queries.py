@@ -12,6 +12,7 @@ from pvgrid.plans.conformance_queries import (BANDS, BASE, DEVIATION, ROLE, SITE
                                               canonical_site, voltvar)
 from pvgrid.plans.registry import register
 from pvgrid.plans.sql_views import mic, q6, site, with_views, xavg, xsum
+from pvgrid.session import stage
 
 YM = "year(t_stamp) AS year, month(t_stamp) AS month"
 PV = "P_pv > 0.16e0 * ac_capacity_kw"
@@ -138,10 +139,9 @@ def _duplicates(spark, sf_dir):
 
 
 @register("duplicate_rows", with_views(
-    "SELECT circuit_id, t_stamp, power, COUNT(*) - 1 AS n_extra FROM ts GROUP BY ALL HAVING COUNT(*) > 1",
-    views=("placed", "ts")))
+    "SELECT *, COUNT(*) - 1 AS n_extra FROM ts GROUP BY ALL HAVING COUNT(*) > 1", views=("placed", "ts")))
 def _duplicate_rows(spark, sf_dir):
-    return quality.duplicate_rows(views.ts(spark, sf_dir).select("circuit_id", "t_stamp", "power"))
+    return quality.duplicate_rows(views.ts(spark, sf_dir))
 
 
 @register("sampling_interval", with_views("""
@@ -173,13 +173,13 @@ def _postcode_step(spark, sf_dir):
 
 
 @register("negative_voltages", with_views(
-    "SELECT circuit_id, COUNT(voltage) AS n_outliers FROM ts WHERE voltage < 0 GROUP BY circuit_id", views=("placed", "ts")))
+    "SELECT circuit_id, COUNT(voltage) AS n_outliers FROM ts WHERE is_pv AND voltage < 0 GROUP BY circuit_id", views=("placed", "ts")))
 def _negative_voltages(spark, sf_dir):
     return quality.voltage_outliers(views.ts(spark, sf_dir))
 
 
 @register("voltages_above_300", with_views(
-    "SELECT circuit_id, COUNT(voltage) AS n_outliers FROM ts WHERE voltage > 300 GROUP BY circuit_id", views=("placed", "ts")))
+    "SELECT circuit_id, COUNT(voltage) AS n_outliers FROM ts WHERE is_pv AND voltage > 300 GROUP BY circuit_id", views=("placed", "ts")))
 def _high_voltages(spark, sf_dir):
     return quality.voltage_outliers(views.ts(spark, sf_dir), below=None, above=300)
 
@@ -281,7 +281,7 @@ def _circuit_types(spark, sf_dir):
 SELECT t_stamp, CAST(site_id AS VARCHAR) AS site_id, P_kW, V FROM site
 UNION ALL SELECT t_stamp, 'All', {xsum('P_kW')}, MAX(V) FROM site GROUP BY t_stamp""", SITE, views=BASE))
 def _total_group(spark, sf_dir):
-    return series.add_total_group(canonical_site(spark, sf_dir), "t_stamp", "site_id",
+    return series.add_total_group(stage(canonical_site(spark, sf_dir), "site-rows"), "t_stamp", "site_id",
                                   {"P_kW": exact_sum(F.col("P_kW")), "V": F.max("V")})
 
 
@@ -291,7 +291,7 @@ PERIODS = ("per", "SELECT *, CAST(floor((m + 86400 - epoch(t_stamp)) / 86400) AS
 
 @register("period_index", with_views("SELECT site_id, t_stamp, num_periods FROM per", SITE, PERIODS, views=BASE))
 def _period_index(spark, sf_dir):
-    return series.period_index(canonical_site(spark, sf_dir), "t_stamp", 86400).select(
+    return series.period_index(stage(canonical_site(spark, sf_dir), "site-rows"), "t_stamp", 86400).select(
         "site_id", "t_stamp", "num_periods")
 
 
@@ -300,7 +300,7 @@ SELECT num_periods, site_id, string_agg(CAST(CAST(epoch(t_stamp) AS BIGINT) AS V
        string_agg(CAST(CAST(round(P_kW * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY t_stamp) AS power
 FROM per GROUP BY num_periods, site_id""", SITE, PERIODS, views=BASE))
 def _period_series(spark, sf_dir):
-    lists = series.period_series(canonical_site(spark, sf_dir), "t_stamp", "site_id", ("P_kW",))
+    lists = series.period_series(stage(canonical_site(spark, sf_dir), "site-rows"), "t_stamp", "site_id", ("P_kW",))
     times = F.transform("t_stamp", lambda t: F.unix_timestamp(t).cast("string"))
     power = F.transform("P_kW", lambda p: F.round(p * 1e6).cast("bigint").cast("string"))
     return lists.select("num_periods", "site_id", F.concat_ws(",", times).alias("times"),
@@ -314,5 +314,6 @@ FROM site JOIN (SELECT site_id, arg_max(step, n * 1e9 - step) AS step, COUNT(*)
     (SELECT site_id, CAST(epoch(t_stamp) - epoch(lag(t_stamp) OVER (PARTITION BY site_id ORDER BY t_stamp)) AS BIGINT) AS step
      FROM site) WHERE step IS NOT NULL GROUP BY ALL) GROUP BY site_id) USING (site_id)""", SITE, views=BASE))
 def _energy_to_power(spark, sf_dir):
-    rows = series.energy_to_power(canonical_site(spark, sf_dir), "site_id", "t_stamp", ("Q_kvar",), to_mega=True)
+    site_rows = stage(canonical_site(spark, sf_dir), "site-rows")
+    rows = series.energy_to_power(site_rows, "site_id", "t_stamp", ("Q_kvar",), to_mega=True)
     return rows.select("site_id", "t_stamp", "Q_kvar", "mixed_steps", "step_seconds")

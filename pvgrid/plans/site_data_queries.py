@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvgrid.functions.exact import quantise
-from pvgrid.operators import edp, quality, spatial
+from pvgrid.operators import clearsky, edp, quality, spatial
 from pvgrid.plans import views
 from pvgrid.plans.registry import register
 from pvgrid.plans.sql_views import mic, q6, with_views, xavg, xsum
@@ -45,10 +45,13 @@ def _nearest_three(spark, sf_dir):
 @register("points_in_polygons", with_views("""
 SELECT point_id, latitude, longitude, region_id FROM locations, (
   SELECT n_nationkey AS n, 115e0 + CAST(n_nationkey * 7 % 25 AS DOUBLE) + 0.25e0 AS x0,
-         -40e0 + CAST(n_nationkey % 25 AS DOUBLE) + 0.25e0 AS y0, unnest([0, 1]) AS shape, n_nationkey * 2 + shape AS region_id
+         -40e0 + CAST(n_nationkey % 25 AS DOUBLE) + 0.25e0 AS y0, unnest([0, 1, 2]) AS shape, n_nationkey * 3 + shape AS region_id
   FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation))
 WHERE CASE WHEN shape = 0 THEN longitude > x0 AND longitude < x0 + 2 AND latitude > y0 AND latitude < y0 + 1
-           ELSE longitude > x0 + 4 AND latitude > y0 AND (longitude - x0 - 4) + (latitude - y0) < 2 END""",
+           WHEN shape = 1 THEN longitude > x0 + 4 AND latitude > y0 AND (longitude - x0 - 4) + (latitude - y0) < 2
+           ELSE longitude > x0 + 8 AND longitude < x0 + 11 AND latitude > y0 AND latitude < y0 + 3
+                AND NOT (longitude BETWEEN x0 + 9 AND x0 + 10 AND latitude BETWEEN y0 + 1 AND y0 + 2)
+                OR longitude > x0 + 12 AND longitude < x0 + 13 AND latitude > y0 AND latitude < y0 + 1 END""",
     views=("locations",)))
 def _in_polygons(spark, sf_dir):
     return spatial.points_in_polygons(views.locations(spark, sf_dir), views.regions(spark, sf_dir), "region_id")
@@ -176,6 +179,41 @@ def _interpolated(spark, sf_dir):
     return filled.withColumns({c: quantise(F.col(c)) for c in ("active_power", "voltage_avg")})
 
 
+LIT = ("gappy", f"""SELECT e.time, edp_site_id, e.postcode, active_power, voltage_avg, GHI FROM edp e
+LEFT JOIN (SELECT time, 5000 + CAST(floor(120 - longitude) AS BIGINT) % 25 AS postcode, {xavg('GHI')} AS GHI
+           FROM solar WHERE GHI IS NOT NULL GROUP BY ALL) g ON g.time = e.time AND g.postcode = e.postcode""")
+LIT_COLUMNS = ("GHI", "voltage_avg")
+
+
+def postcode_irradiance(spark, sf_dir) -> DataFrame:
+    """Mean irradiance per time and postcode of the second data set, by the cell's longitude."""
+    postcode = F.lit(5000) + F.floor(F.lit(120) - F.col("longitude")) % 25
+    points = views.solar(spark, sf_dir).select("latitude", "longitude", postcode.alias("postcode")).distinct()
+    solar = views.solar(spark, sf_dir).drop("postcode")
+    return clearsky.solar_by_postcode(solar, points, ("GHI",), required="GHI", digits=None)
+
+
+@register("edp_with_irradiance", with_views(f"""
+SELECT time, edp_site_id, postcode, active_power, {', '.join(f'{q6(FILL.format(c=c))} AS {c}' for c in LIT_COLUMNS)}
+FROM (SELECT *, {', '.join(f'''first_value(CASE WHEN {c} IS NOT NULL THEN time END IGNORE NULLS) OVER f AS nt{c},
+  first_value({c} IGNORE NULLS) OVER f AS nv{c}''' for c in LIT_COLUMNS)} FROM gappy
+  WINDOW f AS (PARTITION BY postcode, edp_site_id ORDER BY time ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+WINDOW w AS (PARTITION BY postcode, edp_site_id ORDER BY time)""", RATING, EDP, LIT, views=(*EDP_VIEWS, "solar")))
+def _edp_irradiance(spark, sf_dir):
+    rows = stage(processed(spark, sf_dir).select("time", "edp_site_id", "postcode", "active_power", "voltage_avg"), "edp-rows")
+    filled = edp.fill_with_irradiance(rows, postcode_irradiance(spark, sf_dir), LIT_COLUMNS)
+    return filled.select("time", "edp_site_id", "postcode", "active_power", *[quantise(F.col(c)).alias(c) for c in LIT_COLUMNS])
+
+
+@register("edp_reactive_ranking_missing_voltage", _edp_sql(
+    f"SELECT edp_site_id, {xsum('Q_noncomp')} / 12 AS Q_noncomp, bool_or(wrong_on_maxP) AS wrong_on_maxP "
+    f"FROM (SELECT * REPLACE (coalesce(Q_noncomp, abs(abs(reactive_power + 0.6e0 * Srated) - Srated * 0.05e0)) AS Q_noncomp) FROM edp) "
+    f"GROUP BY edp_site_id HAVING {xsum('Q_noncomp')} / 12 > 0"))
+def _reactive_missing(spark, sf_dir):
+    rows = edp.process_edp(views.edp_readings(spark, sf_dir), rating(spark, sf_dir), missing_voltage="absorb")
+    return edp.reactive_ranking(rows)
+
+
 @register("multi_circuit_sites", with_views("""
 SELECT edp_site_id, edp_circuit_label, MIN(datetime) AS datetime, COUNT(*) OVER (PARTITION BY edp_site_id) AS count_circuits
 FROM edp_readings WHERE circuit_label = 'pv_site_net' GROUP BY edp_site_id, edp_circuit_label

@@ -147,7 +147,7 @@ FROM (SELECT s_suppkey AS s FROM supplier)
 
 VIEWS["air_temperature"] = """
 SELECT o_custkey % 40 AS station_number, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 60 % 525600) AS datetime,
-       10e0 + CAST(o_orderkey * 13 % 300 AS DOUBLE) / 10e0 AS temp FROM orders
+       10e0 + CAST(o_orderkey * 13 % 300 AS DOUBLE) / 10e0 AS temp, o_orderkey % 2 AS state_table FROM orders
 """
 
 VIEWS["site_stations"] = """

@@ -203,7 +203,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rectangle and one triangle per nation."""
+    """A rectangle, a triangle, and a square with a hole and an island per nation; a row per ring."""
     n = F.col("n_nationkey")
     x0 = (F.lit(115.0) + (n * 7 % 25).cast("double") + F.lit(0.25))
     y0 = (F.lit(-40.0) + (n % 25).cast("double") + F.lit(0.25))
@@ -212,11 +212,14 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array(*[F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y")) for dx, dy in offsets])
 
     rows = table(spark, sf_dir, "nation")
-    rect = rows.select((n * 2).cast("bigint").alias("region_id"),
+    rect = rows.select((n * 3).cast("bigint").alias("region_id"),
                        ring((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)).alias("vertices"))
-    tri = rows.select((n * 2 + 1).cast("bigint").alias("region_id"),
+    tri = rows.select((n * 3 + 1).cast("bigint").alias("region_id"),
                       ring((4.0, 0.0), (6.0, 0.0), (4.0, 2.0)).alias("vertices"))
-    return rect.unionByName(tri)
+    parts = (ring((8.0, 0.0), (11.0, 0.0), (11.0, 3.0), (8.0, 3.0)), ring((9.0, 1.0), (9.0, 2.0), (10.0, 2.0), (10.0, 1.0)),
+             ring((12.0, 0.0), (13.0, 0.0), (13.0, 1.0), (12.0, 1.0)))
+    several = rows.select((n * 3 + 2).cast("bigint").alias("region_id"), F.explode(F.array(*parts)).alias("vertices"))
+    return rect.unionByName(tri).unionByName(several)
 
 
 def air_temperature(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime settings every plan relies on. Time stamps are UTC by convention, so the
 # session zone must be UTC whatever the cluster default is.
 RUNTIME = {
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -35,39 +38,67 @@ def build_session(app: str = "pvgrid", master: str | None = None, **conf: str) -
     return prepare(builder.getOrCreate())
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+def prepare(spark: SparkSession, scratch: str | None = None) -> SparkSession:
+    """Apply the runtime settings to a session somebody else created.
+
+    ``scratch`` becomes the shared folder for staged tables. Without it the session's
+    ``spark.checkpoint.dir`` holds; only where that is unset too, in a local session, a
+    temporary folder is set, which goes when Python ends.
+    """
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    if scratch:
+        spark.conf.set("spark.checkpoint.dir", scratch)
+    elif not _shared_folder(spark) and spark.sparkContext.master.startswith("local["):
+        own = tempfile.mkdtemp(prefix="pvgrid-stage-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", own)
     return spark
 
 
-def staging_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
+def _shared_folder(spark: SparkSession) -> str | None:
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            or spark.conf.get("spark.checkpoint.dir", None))
+
 
-    Only a local session without that setting gets a temporary folder of its own;
-    on a cluster a missing setting is an error, because executors and driver do not
-    share a machine-local folder.
+def staging_root(spark: SparkSession, root: str | None = None) -> str:
+    """Folder for staged tables: ``root`` or the session's ``spark.checkpoint.dir``.
+
+    There is no default: driver and executors of a cluster share no machine-local folder.
     """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="pvgrid-stage-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
+    root = root or _shared_folder(spark)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach, or pass a root")
+    return root.rstrip("/")
+
+
+_staged: list[tuple[str, str]] = []
+
+
+def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used where a relation feeds several later steps: the input is scanned and
     shuffled once, the lineage is cut, later steps read only their columns, and a
-    lost executor costs no recomputation.
+    lost executor costs no recomputation. :func:`release` deletes what was staged.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark, root)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this application has staged; returns how many there were.
+
+    Call it when the results that read them have been written or collected.
+    """
+    app = spark.sparkContext.applicationId
+    mine = [path for owner, path in _staged if owner == app]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in mine:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    _staged[:] = [entry for entry in _staged if entry[0] != app]
+    return len(mine)

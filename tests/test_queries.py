@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from compare import connect, difference
 from pvgrid.plans.queries import QUERIES, SQL
 from pvgrid.plans.views import table
+from pvgrid.session import release
+
+EMPTY = "no rows"
+# Reports that list nothing on the smallest tables.
+MAY_BE_EMPTY = ()
 
 SKEW_CHECKED = (
     "site_power", "voltwatt_conformance", "voltvar_conformance", "anti_islanding_conformance", "flex_export_sites",
@@ -30,7 +35,8 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, sf_dir, duck, name):
-    assert difference(QUERIES[name](spark, sf_dir), duck, SQL[name]) in (None, "no rows")
+    assert difference(QUERIES[name](spark, sf_dir), duck, SQL[name]) == (EMPTY if name in MAY_BE_EMPTY else None)
+    release(spark)
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +58,8 @@ def skewed(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", SKEW_CHECKED)
 def test_query_matches_sql_on_skewed_tables(spark, skewed, name):
     con = connect(skewed)
-    assert difference(QUERIES[name](spark, skewed), con, SQL[name]) in (None, "no rows")
+    assert difference(QUERIES[name](spark, skewed), con, SQL[name]) is None
+    release(spark)
 
 
 @pytest.mark.parametrize("name", ("voltvar_conformance", "structured_data", "deadband_irradiance_coverage"))

@@ -66,3 +66,27 @@ def test_points_in_concave_polygons(spark):
     df = spark.createDataFrame(grid, POINT)
     got = {(r.id, r.poly) for r in spatial.points_in_polygons(df, polygons, "poly", cell_degrees=1.5).collect()}
     assert got == {(i, k) for i, y, x in grid for k, ring in rings.items() if inside(x, y, ring)}
+
+
+@pytest.mark.parametrize("cell", [0.5, 3.0])
+def test_polygons_with_parts_and_holes_match_brute_force(spark, cell):
+    rng = random.Random(11)
+    rings = {1: [[(0, 0), (6, 0), (6, 6), (0, 6)], [(2, 2), (2, 4), (4, 4), (4, 2)], [(8, 0), (9, 0), (9, 5)]],
+             2: [[(2.25, 2.25), (3.75, 2.25), (3, 3.75)], [(-4, -4), (7, -1), (-3, 5)]]}
+    spots = [(i, rng.randrange(-20, 40) / 4, rng.randrange(-20, 40) / 4) for i in range(900)]
+
+    def within(px, py, parts):
+        odd = False
+        for ring in parts:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                side = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+                if side == 0 and min(x1, x2) <= px <= max(x1, x2) and min(y1, y2) <= py <= max(y1, y2):
+                    return False
+                odd ^= (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1
+        return odd
+
+    points_df = spark.createDataFrame([(i, y, x) for i, x, y in spots], POINT)
+    shapes = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in ring]) for k, parts in rings.items() for ring in parts],
+                                   "key int, vertices array<struct<x double, y double>>")
+    got = sorted((r.id, r.key) for r in spatial.points_in_polygons(points_df, shapes, "key", cell).collect())
+    assert got == sorted((i, k) for i, x, y in spots for k, parts in rings.items() if within(x, y, parts))
