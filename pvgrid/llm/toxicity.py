@@ -2,8 +2,8 @@
 
 Labels mark documents, the field tags words, so the training words are labelled first: in toxic documents, a
 word that stands in far more families of toxic documents than of clean ones is an offending word. A family is
-the documents with the same least word hash, which near copies mostly share: a document that was copied a
-thousand times doesn't make its words look offending. The field has two tags; a word's weight for the offending tag sums the weights of the word
+the documents with the same least hash of a word pair, which near copies mostly share: a document that was
+copied a thousand times doesn't make its words look offending. The field has two tags; a word's weight for the offending tag sums the weights of the word
 itself, of its left and of its right neighbour, and a bias, and there is a weight for each pair of adjacent tags.
 It is fitted by gradient ascent on the penalised likelihood: each task runs forward-backward over its lines
 and returns one gradient, the driver adds them up.
@@ -174,9 +174,10 @@ def _offending(sample: DataFrame, max_words: int):
         def work(batch):
             out = set()
             for text, toxic in zip(batch[0], batch[1].to_pylist(), strict=True):
-                words = set((text.as_py() or "").encode().translate(WORD_BYTES).split())
-                family = min((xxhash.xxh64_intdigest(w, SEED) >> 1 for w in words), default=0)
-                out.update((w, family, toxic) for w in words)
+                words = (text.as_py() or "").encode().translate(WORD_BYTES).split()
+                pairs = zip(words, words[1:], strict=False) if len(words) > 1 else [(w,) for w in words]
+                family = min((xxhash.xxh64_intdigest(b" ".join(p), SEED) >> 1 for p in pairs), default=0)
+                out.update((w, family, toxic) for w in set(words))
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             return [[w.decode() for w in columns[0]], *map(list, columns[1:])]
         return work
