@@ -7,5 +7,6 @@ from pvgrid.plans import (  # noqa: F401  (each module registers its queries)
     estimator_queries,
     impact_queries,
     site_data_queries,
+    storage_queries,
 )
 from pvgrid.plans.registry import QUERIES, SQL  # noqa: F401

@@ -75,6 +75,13 @@ def staging_root(spark: SparkSession, root: str | None = None) -> str:
 _staged: list[tuple[str, str]] = []
 
 
+def staged_path(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """A new path for a staged table, to be written by the caller; :func:`release` deletes it."""
+    path = f"{staging_root(spark, root)}/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -83,9 +90,8 @@ def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     lost executor costs no recomputation. :func:`release` deletes what was staged.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark, root)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name, root)
     df.write.parquet(path)
-    _staged.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,8 +25,11 @@ def _spread(df: DataFrame, partitions: Sequence[str], files: int = 16) -> list[C
 
 
 def create_result_table(df: DataFrame, name: str, partitions: Sequence[str] = (),
-                        sort: Sequence[str] = ()) -> DataFrame:
-    """Drop and rebuild a managed Parquet table, optionally partitioned and sorted."""
+                        sort: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Drop and rebuild a Parquet table, optionally partitioned and sorted.
+
+    The table is managed, or external with its files at ``path``.
+    """
     spark = df.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     keys = [F.col(c) for c in partitions]
@@ -35,6 +38,8 @@ def create_result_table(df: DataFrame, name: str, partitions: Sequence[str] = ()
     if sort:
         df = df.sortWithinPartitions(*partitions, *sort)
     writer = df.write.format("parquet").mode("overwrite")
+    if path:
+        writer = writer.option("path", path)
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.saveAsTable(name)
