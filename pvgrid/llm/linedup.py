@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvgrid.llm.common import map_batches, stage
-from pvgrid.session import staging_root
+from pvgrid.session import staged_path
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -76,6 +76,12 @@ class LevelledRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.recurrences: list[DataFrame] = []
+        self.names: list[str] = []
+
+    def close(self) -> None:
+        """Take the runs out of the catalog; their files go with :func:`pvgrid.session.release`."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in reversed(self.levels) for name in level]
@@ -83,7 +89,8 @@ class LevelledRuns:
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (run.repartition(self.buckets, "hi", "lo").write.bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo")
-         .option("path", f"{staging_root(self.spark)}/{name}").saveAsTable(name))
+         .option("path", staged_path(self.spark, "line-run")).saveAsTable(name))
+        self.names.append(name)
         return name
 
     def add(self, batch: DataFrame) -> None:
@@ -132,7 +139,9 @@ def repeated_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, batches: int = B
     for k in range(batches):
         runs.add(hashes.where(F.col("batch") == k).groupBy("hi", "lo")
                  .agg(F.count("*").alias("docs"), F.max("id").alias("last")))
-    return runs.totals(min_docs)
+    found = stage(runs.totals(min_docs), "repeated-lines")
+    runs.close()
+    return found
 
 
 def _rewrite(text: str | None, keep) -> tuple[int, int, str]:
@@ -155,11 +164,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: n_lines, n_dropped, kept_sha256 and the text that is left."""
     spark = docs.sparkSession
     of_batch = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
-    path = f"{staging_root(spark)}/line-hashes-{uuid.uuid4().hex}"
+    path = staged_path(spark, "line-hashes")
     line_hashes(docs, id_col, text_col, min_chars).withColumn("batch", of_batch).write.partitionBy("batch").parquet(path)
     hashes = spark.read.schema("id " + docs.schema[id_col].dataType.simpleString()
                                + ", hi long, lo long, batch int").parquet(path)
-    repeated = stage(repeated_lines(hashes, min_docs, batches, fan_out).where("last IS NOT NULL"), "repeated-lines")
+    repeated = repeated_lines(hashes, min_docs, batches, fan_out).where("last IS NOT NULL")
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     schema = T.StructType([rows.schema[0], T.StructField("n_lines", T.LongType()),
                            T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType()),
