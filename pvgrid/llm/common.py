@@ -37,6 +37,9 @@ def hold_out(id_col: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+#: Texts may be long, so few go into one Arrow batch, by number and by size.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
 _shipped: set[str] = set()
 
 
@@ -55,8 +58,10 @@ def _ship(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
+    """``mapInArrow`` with this package on the workers and small batches."""
     _ship(df.sparkSession)
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
     return df.mapInArrow(work, schema)
 
 
