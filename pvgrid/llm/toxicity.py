@@ -161,7 +161,8 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int)
     share = {k: min(1.0, max_docs / counts[k]) for k in (0, 1)}
     keep = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     chosen = known.where(chance < keep * (1 << 20)).withColumn("weight", 1.0 / keep)
-    rows = docs.select(F.col("id"), F.col("_text")).join(chosen, "id")
+    # bounded by max_docs per class, so the texts stay where they are
+    rows = docs.select(F.col("id"), F.col("_text")).join(F.broadcast(chosen), "id")
     return stage(rows.select("_text", "toxic", "weight", (chance % 4 != 0).alias("fit"), "id"), "toxic-sample")
 
 
