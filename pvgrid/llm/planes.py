@@ -15,8 +15,8 @@ The table is Parquet, so any file system Spark can write will do. Every chunk ca
 that crosses chunks is put together from the check sums of its parts. Reading back therefore moves no ids.
 
 Encoding: byte-level BPE never joins characters across the start of a white space run, so the parts
-``white space + non white space`` of a text are encoded on their own and remembered (two generations of at
-most ``MEMO`` short parts in a Python worker). Texts with the string of a special token, and tokenizers of any
+``white space + non white space`` of a text are encoded on their own, and the first ``MEMO`` short ones are
+remembered in a Python worker until most parts are new. Texts with the string of a special token, and tokenizers of any
 other build, go through the library as whole texts.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id are written in the order of
@@ -29,7 +29,6 @@ import json
 import os
 import re
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -42,18 +41,22 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pvgrid.llm.common import map_arrow, map_batches
-from pvgrid.session import staging_root
+from pvgrid.session import staged_path
 
 END = 0
 CHUNK_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
-MEMO = 250_000
+MEMO = 700_000
 LEVEL = 3
 
 _HEAD = struct.Struct("<4sBIIQ")
 _MAGIC = b"PVP1"
 _SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_ODD = re.compile(f"[{_SPACE}]{{2}}|(?! )[{_SPACE}]|[{_SPACE}]*$")
+#: A word of Latin letters after one space at most, and ASCII marks behind it: the first step of the encoding
+#: cuts between them and nowhere else, so the word can go to the merges at once.
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+([!-/:-@\\[-`{-~]{0,8})$")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -69,40 +72,82 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         self.by_part = (spec.get("normalizer") is None and before.get("type") == "ByteLevel"
                         and before.get("use_regex") and not before.get("add_prefix_space"))
+        # the byte level writes printable bytes as themselves, the others as characters from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: chr(b) if b in printable else chr(256 + hidden.index(b)) for b in range(256)}
+        self.marks: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.strange = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without line ends, many to a call: set on lines of one text, cut at the line ends' id."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line_end)
+        if len(cuts) + 1 != len(parts):
+            return self._library(parts)
+        raw, starts = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts, [*(4 * cuts).tolist(), len(raw)], strict=True)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word by the library's merges, in the alphabet of its byte level."""
+        units = word.replace(" ", self.alphabet[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [token.id for token in self.tokenizer.model.tokenize(units)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of unknown parts. Short ones are remembered while there is room, the others are returned."""
+        known, spare, fresh, odd = self.known, {}, [], []
+        room = MEMO - len(known)
+        for part in missing:
+            if len(part) <= 64 and (match := _WORD.match(part)):
+                mark = match[1]
+                word = part[:-len(mark)] if mark else part
+                into = known if room > 0 else spare
+                if (ids := known.get(word)) is None:
+                    ids = into[word] = self._word(word)
+                    room -= 1
+                if mark:
+                    if mark not in self.marks:
+                        self.marks[mark] = self._library([mark])[0]
+                    into[part] = ids + self.marks[mark]
+                    room -= 1
+            else:
+                # a part that starts with one space at most stands alone on its line
+                (odd if _ODD.match(part) else fresh).append(part)
+        for k in range(0, len(fresh), 1000):
+            spare.update(zip(fresh[k:k + 1000], self._parts(fresh[k:k + 1000]), strict=True))
+        if odd:
+            spare.update(zip(odd, self._library(odd), strict=True))
+        if room > 0:
+            known.update((part, ids) for part, ids in spare.items() if len(part) <= 64)
+        else:
+            self.strange += len(missing)
+        return spare
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        plain = [self.by_part and not any(s in t for s in self.special) for t in texts]
-        parts = [_PART.findall(t) if p else [t] for t, p in zip(texts, plain, strict=True)]
-        known, missing, whole = self.new, [], {}
-        wanted = set().union(*(x for x, p in zip(parts, plain, strict=True) if p)) - known.keys()
-        for part in wanted:
-            if (ids := self.old.get(part)) is not None:
-                known[part] = ids
-            else:
-                missing.append(part)
-        for part, ids in zip(missing, self._library(missing), strict=True) if missing else ():
-            if len(part) <= 64:
-                known[part] = ids
-            else:
-                whole[part] = ids
+        parts = [_PART.findall(t) if self.by_part and not any(s in t for s in self.special) else None for t in texts]
+        known = self.known
+        found = [list(map(known.get, x)) if x is not None else None for x in parts]
+        holes = [[k for k, i in enumerate(ids) if i is None] if ids and None in ids else () for ids in found]
+        missing = {x[k] for x, at in zip(parts, holes, strict=True) for k in at}
+        spare = self._learn(missing) if missing else {}
         out = []
-        for x, p in zip(parts, plain, strict=True):
-            if not p:
-                out.append(self._library(x)[0])
-            elif whole:
-                out.append(b"".join([known[y] if y in known else whole[y] for y in x]))
-            else:
-                out.append(b"".join(map(known.__getitem__, x)))
-        if len(known) > MEMO:
-            self.old, self.new = known, {}
+        for text, x, ids, at in zip(texts, parts, found, holes, strict=True):
+            for k in at:
+                ids[k] = known[x[k]] if x[k] in known else spare[x[k]]
+            out.append(b"".join(ids) if ids is not None else self._library([text])[0])
+        if self.strange > 4 * MEMO:  # the texts have changed, what is remembered is of little use
+            known.clear()
+            self.marks.clear()
+            self.strange = 0
         return out
 
 
@@ -236,41 +281,38 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     id_type = chunks.schema["doc_ids"].dataType.elementType
     part = T.StructType([
         T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("id", id_type),
-        T.StructField("skip", T.LongType()), T.StructField("n", T.LongType()), T.StructField("crc", T.LongType()),
-        T.StructField("edge", T.BooleanType())])
+        T.StructField("skip", T.LongType()), T.StructField("n", T.LongType()), T.StructField("crc", T.LongType())])
 
     def make():
         def work(batch):
             out = []
             for shard, first, n_ids, ids, skips, sizes, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, at = unpack(payload).tobytes(), 0
-                for k, (i, skip, n) in enumerate(zip(ids, skips, sizes, strict=True)):
-                    edge = k in (0, len(ids) - 1)  # may go on in another chunk
-                    out.append((shard, first + at - skip, i, skip, n, zlib.crc32(raw[4 * at:4 * (at + n)]), edge))
+                for i, skip, n in zip(ids, skips, sizes, strict=True):
+                    out.append((shard, first + at - skip, i, skip, n, zlib.crc32(raw[4 * at:4 * (at + n)])))
                     at += n
             return [list(c) for c in zip(*out, strict=True)]
         return work
 
     parts = map_batches(chunks.select("shard", "first", "n_ids", "doc_ids", "doc_skips", "doc_sizes", "payload"),
                         part, make)
-    whole = parts.where("NOT edge").select("shard", "at", "id", "n", "crc")
-    edges = (parts.where("edge").groupBy("shard", "at")
-             .agg(F.first("id").alias("id"), F.sum("n").alias("n"),
-                  F.sort_array(F.collect_list(F.struct("skip", "n", "crc"))).alias("parts")))
+    # a document's parts, mostly one, meet by its place; its size and check sum follow from theirs
+    docs = parts.groupBy("shard", "at").agg(
+        F.first("id").alias("id"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("skip", "n", "crc"))).alias("parts"))
     joined = T.StructType([part["shard"], part["at"], part["id"], part["n"], part["crc"]])
 
     def make_joined():
         def work(batch):
             crcs = []
             for pieces in batch[4].to_pylist():
-                crc = 0
-                for p in pieces:
+                crc = pieces[0]["crc"]
+                for p in pieces[1:]:
                     crc = crc_join(crc, p["crc"], 4 * p["n"])
                 crcs.append(crc)
             return [*batch.columns[:4], crcs]
         return work
 
-    rows = whole.unionByName(map_batches(edges, joined, make_joined))
+    rows = map_batches(docs, joined, make_joined)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = (chunks.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
               .select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
@@ -282,6 +324,6 @@ def token_digest(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
                  **params) -> DataFrame:
     """Write the documents' ids in the shared folder, and what ``read_tokens`` finds there."""
     spark = docs.sparkSession
-    path = f"{staging_root(spark)}/tokens-{uuid.uuid4().hex}"
+    path = staged_path(spark, "tokens")
     write_tokens(docs, path, tokenizer_file, id_col, text_col, **params)
     return read_tokens(spark, path, id_col)
