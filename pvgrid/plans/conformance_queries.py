@@ -210,6 +210,13 @@ def _conformant_sites(spark, sf_dir):
     return conformance.conformant_site_count(voltvar(spark, sf_dir), threshold=0.9)
 
 
+@register("conformant_site_count_at_default", with_views(
+    "SELECT COUNT(*) AS n_sites FROM (SELECT SUM(nonconformance_voltvar_count) AS bad, SUM(total_count) AS n FROM conf GROUP BY site_id) "
+    "WHERE n > 0 AND bad / CAST(n AS DOUBLE) <= 0.1e0", SITE, BANDS, DEVIATION, VOLTVAR_ROWS, VOLTVAR, views=BASE))
+def _conformant_sites_default(spark, sf_dir):
+    return conformance.conformant_site_count(voltvar(spark, sf_dir))
+
+
 # --- sequences -----------------------------------------------------------------
 
 def _lag(c: str, k: int) -> str:
@@ -348,7 +355,8 @@ def _oem_counts(spark, sf_dir):
     return fleet.oem_counts(views.meta(spark, sf_dir))
 
 
-@register("oem_install_quarter_rate", with_views("""
+def _oem_rate_sql(limit: str) -> str:
+    return with_views("""
 SELECT maker AS OEM, quarter_name AS install_date, good AS num_conf_sites, bad AS num_nonconf_sites,
        100e0 * (bad / CAST(good + bad AS DOUBLE)) AS nonconf_install_ratio_pct
 FROM (SELECT maker, quarter_name, COUNT(*) FILTER (verdict = 0) AS good, COUNT(*) FILTER (verdict = 1) AS bad
@@ -357,12 +365,20 @@ WHERE bad > 0 AND maker <> 'Generic Inverter'""",
     SITE, BANDS, DEVIATION, VOLTVAR_ROWS, VOLTVAR, RED, ("installed", """
 SELECT site_id, MIN(manufacturer) AS maker, MIN(strftime(pv_install_date, '%Y') || '-Q' || quarter(pv_install_date)) AS quarter_name
 FROM meta WHERE year(pv_install_date) > 2023 GROUP BY site_id"""), ("verdicts", """
-SELECT site_id, CASE WHEN SUM(nonconformance_voltvar_red_count) / CAST(SUM(total_count) AS DOUBLE) > 0.3e0 THEN 1 ELSE 0 END AS verdict
-FROM red GROUP BY site_id HAVING SUM(total_count) > 0"""), views=BASE))
+SELECT site_id, CASE WHEN SUM(nonconformance_voltvar_red_count) / CAST(SUM(total_count) AS DOUBLE) > @limit THEN 1 ELSE 0 END AS verdict
+FROM red GROUP BY site_id HAVING SUM(total_count) > 0"""), views=BASE).replace("@limit", limit)
+
+
+@register("oem_install_quarter_rate", _oem_rate_sql("0.3e0"))
 def _oem_quarter(spark, sf_dir):
     return fleet.oem_install_quarter_rate(voltvar_red(spark, sf_dir), views.meta(spark, sf_dir), threshold=0.3)
 
 
+@register("oem_install_quarter_rate_at_default", _oem_rate_sql("0.1e0"))
+def _oem_quarter_default(spark, sf_dir):
+    return fleet.oem_install_quarter_rate(voltvar_red(spark, sf_dir), views.meta(spark, sf_dir))
+
+
 @register("state_voltage", with_views(f"""
 SELECT state, COUNT(*) AS n, {xavg('V')} AS V_mean, quantile_disc(V, 0.01) AS V_01, quantile_disc(V, 0.5) AS V_50,
        quantile_disc(V, 0.99) AS V_99

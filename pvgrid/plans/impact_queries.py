@@ -218,6 +218,11 @@ def _negative_power(spark, sf_dir):
     return quality.negative_power_sites(views.ts(spark, sf_dir), views.meta(spark, sf_dir), below=0.5)
 
 
+@register("negative_power_sites_at_default", with_views("SELECT COUNT(*) AS count_sites FROM ex WHERE P_min < -1", EXTREMES, views=BASE))
+def _negative_power_default(spark, sf_dir):
+    return quality.negative_power_sites(views.ts(spark, sf_dir), views.meta(spark, sf_dir))
+
+
 @register("capacity_consistency", with_views("""
 SELECT site_id FROM meta GROUP BY site_id HAVING COUNT(circuit_id) > 1
 AND CAST(trunc(AVG(ac_capacity_kw)) AS INTEGER) = CAST(trunc(MIN(ac_capacity_kw)) AS INTEGER)""", views=("meta",)))
@@ -225,25 +230,18 @@ def _capacity(spark, sf_dir):
     return quality.capacity_consistency(views.meta(spark, sf_dir))
 
 
-PV_META = "SELECT * FROM meta WHERE is_pv OR site_id % 3 = 0"
-
-
-def _pv_or_third(spark, sf_dir):
-    return views.meta(spark, sf_dir).where("is_pv OR site_id % 3 = 0")
-
-
 @register("many_circuit_sites", with_views(
-    f"SELECT COUNT(*) AS n_sites FROM (SELECT site_id FROM ({PV_META}) GROUP BY site_id HAVING COUNT(circuit_id) > 2)",
-    views=("meta",)))
+    "SELECT COUNT(*) AS n_sites FROM (SELECT site_id FROM metered GROUP BY site_id HAVING COUNT(circuit_id) > 2)",
+    views=("meta", "metered")))
 def _many_circuits(spark, sf_dir):
-    return quality.many_circuit_sites(_pv_or_third(spark, sf_dir), 2)
+    return quality.many_circuit_sites(views.metered_circuits(spark, sf_dir), 2)
 
 
 @register("few_circuit_rows", with_views(
-    f"SELECT site_id, circuit_id, circuit_type FROM ({PV_META}) WHERE site_id IN "
-    f"(SELECT site_id FROM ({PV_META}) GROUP BY site_id HAVING COUNT(circuit_id) <= 2)", views=("meta",)))
+    "SELECT site_id, circuit_id, circuit_type FROM metered WHERE site_id IN "
+    "(SELECT site_id FROM metered GROUP BY site_id HAVING COUNT(circuit_id) <= 2)", views=("meta", "metered")))
 def _few_circuits(spark, sf_dir):
-    return quality.few_circuit_rows(_pv_or_third(spark, sf_dir), 2).select("site_id", "circuit_id", "circuit_type")
+    return quality.few_circuit_rows(views.metered_circuits(spark, sf_dir), 2).select("site_id", "circuit_id", "circuit_type")
 
 
 @register("sites_without_net_meter", with_views("""
@@ -260,6 +258,13 @@ def _rows_per_month(spark, sf_dir):
     return quality.rows_per_month(voltvar(spark, sf_dir), unit=10)
 
 
+@register("rows_per_month_at_default", with_views(
+    "SELECT year, month, COUNT(site_id) // 1000 AS thousands FROM conf GROUP BY year, month",
+    SITE, BANDS, DEVIATION, VOLTVAR_ROWS, VOLTVAR, views=BASE))
+def _rows_per_month_default(spark, sf_dir):
+    return quality.rows_per_month(voltvar(spark, sf_dir))
+
+
 @register("circuits_by_postcode", with_views("SELECT postcode, COUNT(*) AS n FROM meta GROUP BY postcode", views=("meta",)))
 def _by_postcode(spark, sf_dir):
     return quality.circuits_by_postcode(views.meta(spark, sf_dir))

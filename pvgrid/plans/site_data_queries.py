@@ -128,13 +128,6 @@ DROPS = """SELECT time, edp_site_id, active_power, voltage_avg, DP, DP_r FROM (
     SELECT *, active_power - lag(active_power) OVER (PARTITION BY edp_site_id ORDER BY time) AS DP FROM edp))"""
 
 
-def _low_power(spark, sf_dir) -> DataFrame:
-    """EDP rows with power reduced so that near-zero rows occur in the fixture."""
-    rows = processed(spark, sf_dir)
-    quiet = F.pmod(F.unix_timestamp("time") / 300, F.lit(7)) == 0
-    return rows.withColumn("active_power", F.when(quiet, F.lit(0.02)).otherwise(F.col("active_power")))
-
-
 LOW = ("low", "SELECT * REPLACE (CASE WHEN CAST(epoch(time) / 300 AS BIGINT) % 7 = 0 THEN 0.02e0 ELSE active_power END "
               "AS active_power) FROM edp")
 
@@ -148,12 +141,12 @@ TRIP_COLS = ("time", "edp_site_id", "active_power", "voltage_avg", "DP", "DP_r")
 
 @register("trip_events", _trip_sql("DP_r <= -1 AND active_power < 0.05 AND active_power >= -0.05 AND voltage_avg >= 258"))
 def _trips(spark, sf_dir):
-    return edp.trip_events(_low_power(spark, sf_dir)).select(*TRIP_COLS)
+    return edp.trip_events(views.quiet_spells(processed(spark, sf_dir))).select(*TRIP_COLS)
 
 
 @register("trip_events_loose", _trip_sql("DP_r < -1 AND active_power < 0.1 AND active_power >= -0.05 AND voltage_avg > 250"))
 def _trips_loose(spark, sf_dir):
-    return edp.trip_events(_low_power(spark, sf_dir), loose=True).select(*TRIP_COLS)
+    return edp.trip_events(views.quiet_spells(processed(spark, sf_dir)), loose=True).select(*TRIP_COLS)
 
 
 GAPPY = ("gappy", """SELECT time, edp_site_id, postcode,
@@ -171,9 +164,7 @@ FROM (SELECT *, {', '.join(f'''first_value(CASE WHEN {c} IS NOT NULL THEN time E
   WINDOW f AS (PARTITION BY postcode, edp_site_id ORDER BY time ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 WINDOW w AS (PARTITION BY postcode, edp_site_id ORDER BY time)""", RATING, EDP, GAPPY, views=EDP_VIEWS))
 def _interpolated(spark, sf_dir):
-    missing = F.pmod(F.unix_timestamp("time") / 300, F.lit(5)) < 2
-    rows = processed(spark, sf_dir).select(
-        "time", "edp_site_id", "postcode", F.when(~missing, F.col("active_power")).alias("active_power"), "voltage_avg")
+    rows = views.power_gaps(processed(spark, sf_dir))
     filled = edp.interpolate_time(stage(rows, "edp-rows"), ("postcode", "edp_site_id"), "time",
                                   ("active_power", "voltage_avg"))
     return filled.withColumns({c: quantise(F.col(c)) for c in ("active_power", "voltage_avg")})

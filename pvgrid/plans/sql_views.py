@@ -131,6 +131,8 @@ SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS edp_site_id, CAST(5000 + s_nationkey
 FROM supplier WHERE s_suppkey % 11 <> 0
 """
 
+VIEWS["metered"] = "SELECT * FROM meta WHERE is_pv OR site_id % 3 = 0"
+
 VIEWS["locations"] = """
 SELECT c_custkey AS point_id, -40e0 + CAST(c_custkey * 37 % 400 AS DOUBLE) / 16e0 AS latitude,
        115e0 + CAST(c_custkey * 91 % 560 AS DOUBLE) / 16e0 AS longitude FROM customer

@@ -130,6 +130,11 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(5.0).alias("export_limit_kw"), (s % 10 == 0).alias("flex_export_detected"))
 
 
+def metered_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fleet where two sites in three have no load circuit, so sites differ in their number of circuits."""
+    return meta(spark, sf_dir).where("is_pv OR site_id % 3 = 0")
+
+
 def solar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-minute grid rows, several orders reporting the same cell and time."""
     rows = table(spark, sf_dir, "orders").select(
@@ -163,6 +168,18 @@ def edp_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("power") / F.lit(240.0)).alias("current_avg"), F.col("voltage").alias("voltage_avg"))
 
 
+def quiet_spells(edp: DataFrame) -> DataFrame:
+    """Site rows of the second data set with power near zero at every seventh sample."""
+    quiet = F.pmod(F.unix_timestamp("time") / 300, F.lit(7)) == 0
+    return edp.withColumn("active_power", F.when(quiet, F.lit(0.02)).otherwise(F.col("active_power")))
+
+
+def power_gaps(edp: DataFrame) -> DataFrame:
+    """Site rows of the second data set without power at two samples in five."""
+    missing = F.pmod(F.unix_timestamp("time") / 300, F.lit(5)) < 2
+    return edp.select("time", "edp_site_id", "postcode", F.when(~missing, F.col("active_power")).alias("active_power"), "voltage_avg")
+
+
 def edp_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two inverters per site, some without a count; two sites in three are in SA."""
     s = F.col("s_suppkey")
