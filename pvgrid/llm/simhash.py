@@ -129,14 +129,16 @@ def star_edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
         return work
 
     # The masks at hand are counted by the family, not by the data: 15, then at most 225, 3375 ...
-    level, masks, found = fps.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
+    level, masks, found = None, [0], None
     while masks:
-        finer = F.broadcast(spark.createDataFrame([(_signed(m), _finer(m, radius)) for m in masks],
-                                                  "mask long, finer array<long>"))
-        dealt = (level.join(finer, "mask").select("fp", F.explode("finer").alias("mask"))
-                 .withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
-        if masks != [0]:  # two coarse masks may lead to one finer mask
-            dealt = dealt.distinct()
+        if level is None:
+            dealt = fps.select("fp", F.explode(F.array(*[F.lit(m) for m in _finer(0, radius)])).alias("mask"))
+        else:
+            finer = F.broadcast(spark.createDataFrame([(_signed(m), _finer(m, radius)) for m in masks],
+                                                      "mask long, finer array<long>"))
+            # two coarse masks may lead to one finer mask
+            dealt = level.join(finer, "mask").select("fp", F.explode("finer").alias("mask")).distinct()
+        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         shared = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         members = stage(dealt.join(shared, ["mask", "key"]), "buckets")
         # members of a bucket differ in open positions only; radius of them or fewer: all are linked
