@@ -88,6 +88,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = F.min(F.struct((-F.col("n_chars")).alias("chars"), F.col("id").isNull().alias("no_id"), "id", "row"))
     groups = (rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
               .select("recipe", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"))
+    groups = stage(groups, "groups")  # so that the join's sides are plain scans, which Spark can split
     return (rows.join(groups, "recipe")
             .select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
                     "text_sha256"))
