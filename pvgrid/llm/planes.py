@@ -47,7 +47,7 @@ END = 0
 CHUNK_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
 MEMO = 700_000
-LEVEL = 3
+LEVEL = 1
 
 _HEAD = struct.Struct("<4sBIIQ")
 _MAGIC = b"PVP1"
@@ -185,11 +185,12 @@ def unpack(payload: bytes) -> np.ndarray:
         n = min(block_ids, n_ids - start)
         raw = [np.frombuffer(press.decompress(payload[ends[k] - sizes[k]:ends[k]]), np.uint8)
                for k in range(block * width, (block + 1) * width)]
+        octets = ids[start:start + n].view(np.uint8).reshape(-1, 4)
         if width == 4:
-            octets = np.stack(raw, axis=1)
+            for k in range(4):
+                octets[:, k] = raw[k]
         else:
-            octets = np.packbits(np.stack([np.unpackbits(r, count=n) for r in raw], axis=1), axis=1, bitorder="little")
-        ids[start:start + n] = np.ascontiguousarray(octets).view("<u4").ravel()
+            octets[:] = np.packbits(np.stack([np.unpackbits(r, count=n) for r in raw], axis=1), axis=1, bitorder="little")
     return ids
 
 
