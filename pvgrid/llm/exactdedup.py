@@ -70,9 +70,10 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_hash = Window.partitionBy("hash", "size").orderBy("chunk")
     numbers = (distinct.join(clash, ["hash", "size"], "left_semi")
                .select("hash", "size", "chunk", (F.row_number().over(of_hash) - 1).alias("number")))
-    parts = stage(rows.select(
-        "id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.length("_text"), F.lit(0)).alias("n_chars"),
-        F.sha2("_norm", 256).alias("text_sha256"), F.posexplode_outer(_chunks(F.col("_norm"))).alias("pos", "chunk"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # before a row becomes several
+    parts = stage(numbered.select(
+        "id", "row", F.coalesce(F.length("_text"), F.lit(0)).alias("n_chars"), F.sha2("_norm", 256).alias("text_sha256"),
+        F.posexplode_outer(_chunks(F.col("_norm"))).alias("pos", "chunk"))
         .withColumns({"hash": chunk_hash(F.col("chunk")), "size": F.octet_length("chunk")}), "chunk-rows")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "hash", "size", F.coalesce("number", F.lit(0)).alias("no")))
     return stage(parts.join(numbers, ["hash", "size", "chunk"], "left")
