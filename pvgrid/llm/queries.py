@@ -15,7 +15,7 @@ from pvgrid.llm.mixing import mix
 from pvgrid.llm.planes import token_digest
 from pvgrid.llm.quality import score_quality
 from pvgrid.llm.simhash import near_duplicates
-from pvgrid.llm.toolcalls import link_tool_calls
+from pvgrid.llm.toolcalls import link_every_call
 from pvgrid.llm.toxicity import score_toxicity
 from pvgrid.session import prepare
 
@@ -105,7 +105,7 @@ def op5_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked, ordered, checked and serialised tool calls of all conversations."""
     calls, results = tool_calls(table(spark, sf_dir, "conversations"))
     schemas = spark.createDataFrame(list(TOOLS), "name string, param string, type string, required boolean")
-    return link_tool_calls(calls, results, schemas)
+    return link_every_call(calls, results, schemas)
 
 
 OP5_SQL = """

@@ -7,25 +7,36 @@ log2 n rounds, each written to the shared folder. Ordering by (level, turn, call
 of a conversation. Arguments are parsed, checked against the tool's parameters (known, required, type) and
 serialised as canonical JSON: keys in code point order, no white space, null fields left out.
 
-Size: both sides are summed to one row per identifier before they meet, so neither a frequent identifier
+``link_every_call`` keeps all calls and results of an identifier that is used again. Rows equal in all fields
+are one, with a count. A result belongs to the calls of the last turn that isn't after its own; the first such
+result goes to the first of these calls (by name, arguments, depends_on), the second to the second and so on, and
+one that is left over, has no call before it, or no identifier, is an orphan row. A null turn is before all others
+for a call and after them for a result. A needed identifier stands for its last call of an earlier turn, or else
+for its first one; of several in that turn, for the first.
+
+Size: equal rows are summed before they meet. Turns are matched in pieces of a global order of ``PIECE`` rows, each
+taking over the last turn of the pieces before it from one summary row per piece, so neither a frequent identifier
 nor a long conversation is gathered anywhere; no window runs over a conversation.
 
-Defined cases: an identifier used by several calls stands for the first of them (by turn, name, arguments),
+``link_tool_calls`` is a summary of one row per identifier and loses what the first rows don't hold. Its cases:
+an identifier used by several calls stands for the first of them (by turn, name, arguments),
 ``n_calls`` tells how many there were; of several results the first (by turn, content) is linked,
-``n_results`` counts them; calls without identifier can't be linked and are reported each, with level 0; a
-result without call is an orphan row; a needed call that doesn't exist is an error and counts as not needed;
+``n_results`` counts them; results without identifier are left out. Cases of both: calls without identifier can't
+be linked and are reported, with level 0; a result without call is an orphan row; a needed call that doesn't exist is an error and counts as not needed;
 calls in or behind a circle have level -1; arguments that are no JSON object (or repeat a key) are
 ``not_json`` and are serialised as null; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pvgrid.functions.ordinal import global_ordinal
 from pvgrid.llm.common import stage
 
 KEY = ["conv_id", "call_id"]
+PIECE = 4096
 
 #: Types a parameter may have, and what Spark calls a JSON value of that type.
 JSON_TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"],
@@ -95,8 +106,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     rows = linked.unionByName(unnamed, allowMissingColumns=True)
     exists = first.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_needs"))
     rows = rows.join(exists, (F.col("conv_id") == F.col("_c")) & (F.col("depends_on") == F.col("_needs")), "left")
+    return _reported(rows, schemas)
+
+
+def _reported(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    """State, errors and JSON of linked rows; ``_needs`` is null if the needed call doesn't exist."""
     state = (F.when(F.col("is_call").isNull(), "orphan_result").when(F.col("level") < 0, "circle")
-             .when(F.col("result_turn").isNull() & F.col("result").isNull(), "unanswered").otherwise("answered"))
+             .when(F.col("n_results").isNull(), "unanswered").otherwise("answered"))
     rows = checked(rows, schemas).withColumn("state", state)
     lost = F.when(F.col("depends_on").isNotNull() & F.col("_needs").isNull(), F.array(F.lit("missing_call")))
     rows = rows.withColumn("errors", F.when(F.col("is_call"), F.concat("errors", F.coalesce(lost, F.array().cast("array<string>")))))
@@ -106,3 +122,60 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     return rows.select("conv_id", "call_id", "turn", "level", "state", "n_calls", "n_results",
                        (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"),
                        text.alias("canonical_json"))
+
+
+def _last_turn(events: DataFrame, piece: int) -> DataFrame:
+    """Adds ``since``, the last call's place up to each event, of events in a global ``ordinal``."""
+    chunk = [*KEY, "_piece"]
+    events = events.withColumns({"_piece": F.floor(F.col("ordinal") / piece), "_call": F.when(F.col("kind") == 1, F.col("place"))})
+    before = Window.partitionBy(*KEY).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (events.groupBy(*chunk).agg(F.max("_call").alias("_last"))
+              .select(*chunk, F.max("_last").over(before).alias("_carried")))
+    inside = Window.partitionBy(*chunk).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    return (events.withColumn("_inside", F.max("_call").over(inside)).join(pieces, chunk)
+            .withColumn("since", F.greatest("_inside", "_carried")).drop("_piece", "_call", "_inside", "_carried"))
+
+
+def link_every_call(calls: DataFrame, results: DataFrame, schemas: DataFrame, piece: int = PIECE) -> DataFrame:
+    """One row per distinct call with the result linked to it, and one per distinct result without call.
+
+    The tables are those of ``link_tool_calls``, as are the columns; ``n_calls`` and ``n_results`` count equal rows.
+    """
+    fields, tail = ("turn", "name", "arguments", "depends_on"), ("turn", "content")
+    number = F.monotonically_increasing_id()
+    calls = stage(calls.groupBy(*KEY, *fields).agg(F.count("*").alias("n_calls")).withColumn("node", number), "calls")
+    results = stage(results.groupBy(*KEY, *tail).agg(F.count("*").alias("n_results")).withColumn("node", number), "results")
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+
+    def events(rows, kind, place, *ties):
+        ties = [F.col(t) for t in ties] + [F.lit(None)] * (3 - len(ties))
+        return rows.where(named).select(*KEY, F.coalesce(F.col("turn").cast("long"), F.lit(place)).alias("place"), F.lit(kind).alias("kind"),
+                                        "node", *[t.cast("string").alias(f"_tie{k}") for k, t in enumerate(ties)])
+    first, last = -(1 << 63), (1 << 63) - 1
+    needs = calls.where(named & F.col("depends_on").isNotNull()).withColumn("call_id", F.col("depends_on"))
+    order = [*KEY, "place", "kind", "_tie0", "_tie1", "_tie2"]
+    placed = global_ordinal(events(needs, 0, first).unionByName(events(calls, 1, first, "name", "arguments", "depends_on"))
+                            .unionByName(events(results, 2, last, "content")), *[F.col(c) for c in order])
+    placed = stage(_last_turn(placed.select(*KEY, "place", "kind", "node", "ordinal"), piece), "placed")
+    # calls of one turn follow each other in the order, as do the results that belong to them
+    starts = (placed.where("kind > 0 AND since IS NOT NULL").groupBy(*KEY, "since", "kind").agg(F.min("ordinal").alias("_start")))
+    ranked = (placed.where("kind > 0").join(starts, [*KEY, "since", "kind"])
+              .select(*KEY, "since", "kind", "node", (F.col("ordinal") - F.col("_start")).alias("_rank")))
+    ranked = stage(ranked, "ranked")
+    links = (ranked.where("kind = 1").select(*KEY, "since", "_rank", "node")
+             .join(ranked.where("kind = 2").select(*KEY, "since", "_rank", F.col("node").alias("_answer")), [*KEY, "since", "_rank"])
+             .select("node", "_answer"))
+    links = stage(links, "links")
+    heads = ranked.where("kind = 1 AND _rank = 0").select(*KEY, "since", F.col("node").alias("_needs"))
+    earliest = heads.groupBy(*KEY).agg(F.min_by("_needs", "since").alias("_earliest"))
+    needed = (placed.where("kind = 0").join(heads, [*KEY, "since"], "left").join(earliest, KEY, "left")
+              .select("node", F.coalesce("_needs", "_earliest").alias("_needs")))
+    nodes = stage(calls.where(named).join(needed, "node", "left").select("conv_id", "node", "_needs"), "needed")
+    depth = levels(nodes.select("conv_id", F.col("node").cast("string").alias("call_id"), F.col("_needs").cast("string").alias("depends_on")))
+    depth = depth.select(F.col("call_id").cast("long").alias("node"), "level")
+    answers = results.select(F.col("node").alias("_answer"), F.col("turn").alias("result_turn"), F.col("content").alias("result"), "n_results")
+    made = (calls.join(nodes.select("node", "_needs"), "node", "left").join(depth, "node", "left").join(links, "node", "left")
+            .join(answers, "_answer", "left").withColumns({"level": F.coalesce("level", F.lit(0).cast("long")), "is_call": F.lit(True)}))
+    alone = (results.join(links.select("_answer"), F.col("node") == F.col("_answer"), "left_anti")
+             .select(*KEY, F.col("turn").alias("result_turn"), F.col("content").alias("result"), "n_results"))
+    return _reported(made.unionByName(alone, allowMissingColumns=True), schemas)
