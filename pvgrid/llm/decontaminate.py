@@ -189,10 +189,19 @@ def _block_hits(rows: DataFrame, key: str, windows) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       text_cols: Iterable[str] = ("text",), width: int = WIDTH,
-                      max_chars: int = MAX_CHARS) -> DataFrame:
-    """The documents without any window, all columns unchanged; one scan per block, no shuffle."""
+                      max_chars: int = MAX_CHARS, short_items: bool = True) -> DataFrame:
+    """The documents without any window, all columns unchanged; one scan per block, no shuffle.
+
+    Without ``short_items`` only windows of full width drop a document, those of each text and of an item's texts
+    one after the other (a question and its answer), so that an answer like 'yes' drops nothing by itself.
+    """
     at = docs.columns.index(text_col)
-    blocks = _blocks(item_windows(items, item_col, text_cols, width), max_chars)
+    windows = item_windows(items, item_col, text_cols, width)
+    if not short_items:
+        whole = items.select(item_col, F.concat_ws("\n", *text_cols).alias("_whole"))
+        windows = (windows.unionByName(item_windows(whole, item_col, ("_whole",), width)).where(F.col("length") >= width)
+                   .groupBy("window", "length").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    blocks = _blocks(windows, max_chars)
     for k, block in enumerate(blocks):
         key, windows = _broadcast(block)
         docs = stage(docs, "clean") if k else docs  # one automaton at a time in a worker
