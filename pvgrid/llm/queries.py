@@ -17,7 +17,8 @@ from pvgrid.llm.quality import score_quality
 from pvgrid.llm.simhash import near_duplicates
 from pvgrid.llm.toolcalls import link_every_call
 from pvgrid.llm.toxicity import score_toxicity
-from pvgrid.session import prepare
+from pvgrid.llm.warc import page_records
+from pvgrid.session import prepare, staged_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -233,11 +234,29 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, size and digest of every page's record, read back from the archives written."""
+    return page_records(table(spark, sf_dir, "pages"), staged_path(spark, "warc"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+n AS (
+    SELECT *, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS last,
+           row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS place
+    FROM p),
+r AS (SELECT *, payload_bytes < 1000 OR place = 1 AS is_whole FROM n)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN is_whole THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT is_whole THEN last END AS refers_to
+FROM r
+"""
+
 _BUILD = {f.__name__: f for f in (
     op1_decontaminate, op2_quality, op3_toxicity, op4_lattice, op5_toolcalls, op6_mixing, op7_simhash, op8_planes, op9_exact,
-    op10_lines)}
+    op10_lines, op12_warc)}
 
-SQL = {"op1_decontaminate": OP1_SQL, "op5_toolcalls": OP5_SQL, "op6_mixing": OP6_SQL, "op9_exact": OP9_SQL, "op10_lines": OP10_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op5_toolcalls": OP5_SQL, "op6_mixing": OP6_SQL, "op9_exact": OP9_SQL, "op10_lines": OP10_SQL,
+       "op12_warc": OP12_SQL}
 
 
 def _prepared(build):
