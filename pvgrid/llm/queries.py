@@ -14,10 +14,12 @@ from pvgrid.llm.linedup import drop_repeated_lines
 from pvgrid.llm.mixing import mix
 from pvgrid.llm.planes import token_digest
 from pvgrid.llm.quality import score_quality
+from pvgrid.llm.repair import repair
 from pvgrid.llm.simhash import near_duplicates
 from pvgrid.llm.toolcalls import link_every_call
 from pvgrid.llm.toxicity import score_toxicity
 from pvgrid.llm.warc import page_records
+from pvgrid.llm.whitening import whiten
 from pvgrid.session import prepare, staged_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -234,6 +236,102 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM marked GROUP BY doc_id
 """
 
+def damage(chats: DataFrame) -> DataFrame:
+    """Turns as a faulty export leaves them: by a check sum some are lost, emptied, cut, repeated or given to the user."""
+    filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(filled["conv_id"], F.lit(":"), filled["turn"]).cast("binary")) % 20
+    rows = chats.select("conv_id", "turn", filled["role"].alias("role"), filled["text"].alias("text"), kind.alias("kind"))
+    return (rows.where("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+        .drop("copy"))
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text's digest of every conversation after damage."""
+    chats = table(spark, sf_dir, "conversations")
+    found = repair(damage(chats)).withColumnRenamed("conv_id", "conv")
+    ids = chats.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (ids.join(found, ids["conv_id"].eqNullSafe(found["conv"]), "left")
+            .select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, bit by bit."""
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    turn = "c"
+    for _ in range(8):
+        turn = f"list_transform([{turn}], lambda x: {step.format('x')})[1]"
+    fold = turn.replace("[c]", "[xor(c, CAST(ord(ch) AS BIGINT))]", 1)
+    return f"xor(list_reduce(string_split({text}, ''), lambda c, ch: {fold}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+# States: 0 nothing yet, 1 after s, 2 after u, 3 after a. Moves: from, to, edits, cost.
+OP11_SQL = """
+WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM (SELECT *, %CRC% % 20 AS kind FROM raw) WHERE kind <> 0),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+placed AS (
+    SELECT conv_id, turn, role, text, i, count(*) OVER (PARTITION BY conv_id) AS n,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+           lead(role) OVER (PARTITION BY conv_id ORDER BY i) AS follower,
+           regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare
+    FROM numbered),
+faulty AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+           left(role, 1) AS initial FROM placed),
+ins(p, q, e, c, t) AS (VALUES
+    (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+    (0, 2, 'I', 3, chr(10) || 'user:'), (1, 2, 'I', 3, chr(10) || 'user:'), (3, 2, 'I', 3, chr(10) || 'user:'),
+    (2, 3, 'I', 3, chr(10) || 'assistant:'), (0, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (1, 3, 'II', 6, chr(10) || 'user:' || chr(10) || 'assistant:')),
+edit(p, q, e, c, initial) AS (VALUES
+    (0, 0, 'D', 4, ''), (1, 1, 'D', 4, ''), (2, 2, 'D', 4, ''), (3, 3, 'D', 4, ''),
+    (0, 2, 'R', 3, ''), (1, 2, 'R', 3, ''), (3, 2, 'R', 3, ''), (2, 3, 'R', 3, ''),
+    (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'), (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a')),
+path AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, n, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS edits, '' AS body
+    FROM faulty WHERE i = 1
+    UNION ALL
+    SELECT conv_id, i, n, state, cost, edits, body FROM (
+        SELECT p.conv_id, f.i, p.n, d.q AS state, p.cost + ins.c + d.c + CASE WHEN d.e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+               p.edits || ins.e || d.e AS edits,
+               p.body || ins.t || CASE d.e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text
+                                  ELSE chr(10) || CASE d.q WHEN 2 THEN 'user:' ELSE 'assistant:' END || text END AS body
+        FROM path p JOIN faulty f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1
+        JOIN ins ON ins.p = p.state JOIN edit d ON d.p = ins.q
+        WHERE (d.e = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (d.initial = '' OR d.initial = f.initial))
+    QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, edits) = 1),
+ends AS (
+    SELECT conv_id, p.cost + ins.c AS cost, edits || ins.e AS audit, body || ins.t AS body
+    FROM path p JOIN ins ON ins.p = p.state WHERE p.i = p.n AND ins.q IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p.cost + ins.c, edits || ins.e) = 1),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (follower IS NOT NULL AND initial || left(follower, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(substring(body, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts c ON ids.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON ids.conv_id IS NOT DISTINCT FROM e.conv_id
+""".replace("%CRC%", _crc32("name"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type, size and digest of every page's record, read back from the archives written."""
     return page_records(table(spark, sf_dir, "pages"), staged_path(spark, "warc"))
@@ -251,12 +349,17 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS pa
 FROM r
 """
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components, their share of the variance and the exact deviation of every embedding."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 _BUILD = {f.__name__: f for f in (
     op1_decontaminate, op2_quality, op3_toxicity, op4_lattice, op5_toolcalls, op6_mixing, op7_simhash, op8_planes, op9_exact,
-    op10_lines, op12_warc)}
+    op10_lines, op11_repair, op12_warc, op13_whitening)}
 
 SQL = {"op1_decontaminate": OP1_SQL, "op5_toolcalls": OP5_SQL, "op6_mixing": OP6_SQL, "op9_exact": OP9_SQL, "op10_lines": OP10_SQL,
-       "op12_warc": OP12_SQL}
+       "op11_repair": OP11_SQL, "op12_warc": OP12_SQL}
 
 
 def _prepared(build):
