@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 
 from pvgrid.operators import spatial
@@ -90,3 +92,75 @@ def test_polygons_with_parts_and_holes_match_brute_force(spark, cell):
                                    "key int, vertices array<struct<x double, y double>>")
     got = sorted((r.id, r.key) for r in spatial.points_in_polygons(points_df, shapes, "key", cell).collect())
     assert got == sorted((i, k) for i, x, y in spots for k, parts in rings.items() if within(x, y, parts))
+
+
+def crossings_inside(x, y, edges):
+    """Even-odd rule over all edges at once; points on an edge are not inside."""
+    x1, y1, x2, y2 = edges.T
+    side = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    if ((side == 0) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))).any():
+        return False
+    up = (y1 > y) != (y2 > y)
+    at = x1[up] + (y - y1[up]) * (x2[up] - x1[up]) / (y2[up] - y1[up])
+    return bool((x < at).sum() % 2)
+
+
+def ring_edges(ring):
+    a = np.array(ring, float)
+    return np.hstack([a, np.roll(a, -1, axis=0)])
+
+
+def coastline(n, seed, x0=0.0, y0=0.0, radius=10.0):
+    """A closed ring of n short edges around (x0, y0)."""
+    rng = np.random.default_rng(seed)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, n))
+    r = radius * (1 + 0.2 * np.sin(7 * angle) + 0.0003 * rng.standard_normal(n))
+    return list(zip((x0 + r * np.cos(angle)).tolist(), (y0 + r * np.sin(angle)).tolist()))
+
+
+SHAPES = "key int, vertices array<struct<x double, y double>>"
+
+
+def test_large_polygons_and_a_crowded_city(spark):
+    rng = np.random.default_rng(5)
+    rings = {1: [coastline(100_000, 1), coastline(2000, 2, 1.0, 1.0, 3.0)], 2: [coastline(3000, 3, 4.0, -2.0, 8.0)]}
+    rings |= {10 + k: [coastline(12, 100 + k, 5 + rng.uniform(-.01, .01), 5 + rng.uniform(-.01, .01), 0.002)] for k in range(300)}
+    coast = rings[1][0]
+    spots = [(float(a), float(b)) for a, b in rng.uniform(-14, 14, (600, 2))]
+    spots += [(5 + float(a), 5 + float(b)) for a, b in rng.uniform(-.012, .012, (1500, 2))]           # the city
+    spots += [coast[k] for k in range(0, 100_000, 4000)]                                               # on a vertex
+    spots += [(coast[k][0] + d, coast[k][1]) for k in range(0, 100_000, 3000) for d in (-1e-3, 1e-3, -1e-6)]
+    spots += [(-13.0, coast[k][1]) for k in range(0, 100_000, 9000)] + [(0.5, coast[k][1]) for k in range(0, 100_000, 9000)]
+    want = set()
+    for key, parts in rings.items():
+        edges = np.vstack([ring_edges(r) for r in parts])
+        low, high = edges[:, :2].min(0), edges[:, :2].max(0)
+        want |= {(i, key) for i, (a, b) in enumerate(spots) if low[0] <= a <= high[0] and low[1] <= b <= high[1] and crossings_inside(a, b, edges)}
+    df = spark.createDataFrame([(i, b, a) for i, (a, b) in enumerate(spots)], POINT)
+    shapes = spark.createDataFrame([(k, ring) for k, parts in rings.items() for ring in parts], SHAPES)
+    cells, _ = spatial.polygon_cells(shapes.where("key = 2"), "key")
+    sizes = cells.selectExpr("max(size(edges)) AS e", "max(size(ends)) AS s", "count(*) AS n").first()
+    assert sizes.e <= spatial.CELL_EDGES and sizes.s <= 2 * spatial.CELL_EDGES + 1 and sizes.n < 3000
+    assert {(r.id, r.key) for r in spatial.points_in_polygons(df, shapes, "key").collect()} == want
+
+
+@pytest.mark.parametrize("cell_edges", [3, 6])
+def test_small_cells_on_quarters_match_brute_force(spark, cell_edges):
+    """Vertices, points and cell borders coincide; edges share vertices and run along borders."""
+    rng = random.Random(21)
+    rings = {k: [[(rng.randrange(-16, 17) / 4, rng.randrange(-16, 17) / 4) for _ in range(rng.randint(3, 9))]
+                 for _ in range(rng.randint(1, 3))] for k in range(12)}
+    rings[50] = [[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 1), (2, 1), (2, 2)], [(3, 3)], []]
+    rings[51] = [[(0, 0), (1, 0)]]                     # no area
+    rings[52] = [[(2, 2), (2, 2), (2, 2)]]
+    rings[53] = [[(0, 0)] + [(math.cos(a), math.sin(a)) if a % 2 else (0, 0) for a in range(120)]]  # many edges in a point
+    spots = [(x / 8, y / 8) for x in range(-36, 37, 2) for y in range(-36, 37, 3)]
+    edges = {k: np.vstack([ring_edges(r) for r in parts if len(r) > 1]) for k, parts in rings.items()}
+    want = {(i, k) for k, e in edges.items() for i, (a, b) in enumerate(spots) if crossings_inside(a, b, e)}
+    odd = [(9000, None, 1.0), (9001, 1.0, float("nan")), (9002, float("inf"), 0.0), (9003, 1e300, 1e300)]
+    df = spark.createDataFrame([(i, b, a) for i, (a, b) in enumerate(spots)] + odd, POINT)
+    shapes = spark.createDataFrame([(k, [(float(a), float(b)) for a, b in r]) for k, parts in rings.items() for r in parts], SHAPES)
+    got = {(r.id, r.key) for r in spatial.points_in_polygons(df, shapes, "key", cell_edges=cell_edges).collect()}
+    assert got == want
+    assert spatial.points_in_polygons(df, shapes.where("key > 99"), "key").collect() == []
+    assert spatial.points_in_polygons(df.where("id < 0"), shapes, "key").collect() == []
