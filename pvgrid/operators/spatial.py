@@ -236,6 +236,11 @@ def polygon_cells(polygons: DataFrame, polygon_key: str, cell_degrees: float | N
              .withColumn("_cy", F.explode(F.sequence(F.floor(F.col("ay") / size), F.floor(F.col("by") / size))))
              .where((F.greatest("y1", "y2") >= F.col("_cy") * size) & (F.least("y1", "y2") <= (F.col("_cy") + 1) * size))
              .withColumn("_cx", F.explode(F.sequence(F.floor(F.col("ax") / size), F.floor(F.col("bx") / size)))))
+    if not any(n > cell_edges for n in sizes.values()):
+        found = _related(first).where("within OR beyond").groupBy(*CELL).agg(
+            F.collect_list(F.when(F.col("within"), F.struct(*EDGE))).alias("edges"),
+            F.flatten(F.collect_list(F.when(F.col("beyond"), F.array("y1", "y2")))).alias("ends"))
+        return found, sorted(sizes)
     now, ends = _dealt(first)
     leaves, levels, rounds, parents = [], set(sizes), 0, None
     while any(n > cell_edges for n in sizes.values()):
@@ -258,7 +263,7 @@ def polygon_cells(polygons: DataFrame, polygon_key: str, cell_degrees: float | N
     for part in parts[1:]:
         rows = rows.unionByName(part)
     cells = rows.groupBy(*CELL).agg(F.collect_list("e").alias("edges"), F.collect_list("y").alias("ends"))
-    return stage(cells, "polygon-cells") if rounds else cells, sorted(levels)
+    return stage(cells, "polygon-cells"), sorted(levels)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, polygon_key: str, cell_degrees: float | None = None,
