@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pvgrid.session import stage
 
-__all__ = ["Batch", "WORD_BYTES", "char_offsets", "hold_out", "map_arrow", "map_batches", "stage", "table",
+__all__ = ["Batch", "WORD_BYTES", "char_offsets", "give_back", "held", "hold_out", "map_arrow", "map_batches", "stage", "table",
            "word_bounds"]
 
 Batch = Callable[[pa.RecordBatch], list]
@@ -41,6 +43,28 @@ def hold_out(id_col: Column, parts: int, part: int) -> Column:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 _shipped: set[str] = set()
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """``make()``, kept in the Python worker until another key is asked for, by whatever operator.
+
+    Workers are used again by later stages, so what each of them would keep adds up.
+    """
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def _ship(spark: SparkSession) -> None:
@@ -62,7 +86,14 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     _ship(df.sparkSession)
     for key, value in BATCH.items():
         df.sparkSession.conf.set(key, value)
-    return df.mapInArrow(work, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def map_batches(df: DataFrame, schema: T.StructType, make: Callable[[], Batch]) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pvgrid.llm.common import WORD_BYTES, char_offsets, map_arrow, map_batches, stage, word_bounds
+from pvgrid.llm.common import WORD_BYTES, char_offsets, held, map_arrow, map_batches, stage, word_bounds
 
 WIDTH = 10
 MAX_CHARS = 8_000_000
@@ -36,7 +36,6 @@ _RUN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructF
                                  T.StructField("items", T.ArrayType(T.StringType()))]))
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
-_automata: dict[str, ahocorasick.Automaton] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,15 +67,15 @@ def item_windows(items: DataFrame, item_col: str = "item_id", text_cols: Iterabl
 
 def _automaton(key: str, windows: list) -> ahocorasick.Automaton:
     """The automaton of one broadcast block, built once in a Python worker. Characters are bytes."""
-    if key not in _automata:
-        _automata.clear()
+    def build() -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for k, (window, _, _) in enumerate(windows):
             found.add_word(f" {window} ".encode().decode("latin-1"), k)
         if windows:
             found.make_automaton()
-        _automata[key] = found
-    return _automata[key]
+        return found
+
+    return held(f"automaton:{key}", build)
 
 
 def _runs(text: str | None, automaton: ahocorasick.Automaton, windows: list) -> tuple[int, list]:

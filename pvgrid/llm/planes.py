@@ -15,8 +15,8 @@ The table is Parquet, so any file system Spark can write will do. Every chunk ca
 that crosses chunks is put together from the check sums of its parts. Reading back therefore moves no ids.
 
 Encoding: byte-level BPE never joins characters across the start of a white space run, so the parts
-``white space + non white space`` of a text are encoded on their own, and the first ``MEMO`` short ones are
-remembered in a Python worker until most parts are new. Texts with the string of a special token, and tokenizers of any
+``white space + non white space`` of a text are encoded on their own, and the first short ones are
+remembered in a Python worker, in ``MEMO`` bytes, until most parts are new. Texts with the string of a special token, and tokenizers of any
 other build, go through the library as whole texts.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id are written in the order of
@@ -40,13 +40,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pvgrid.llm.common import map_arrow, map_batches
+from pvgrid.llm.common import held, map_arrow, map_batches
 from pvgrid.session import staged_path
 
 END = 0
 CHUNK_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
-MEMO = 700_000
+#: Bytes of memory for remembered parts in a Python worker, and what one takes besides its characters and ids.
+MEMO = 96 << 20
+MEMO_ENTRY = 200
+#: The memory is begun anew after one unknown part for so many of its bytes.
+RENEW = 32
 LEVEL = 1
 
 _HEAD = struct.Struct("<4sBIIQ")
@@ -57,7 +61,6 @@ _ODD = re.compile(f"[{_SPACE}]{{2}}|(?! )[{_SPACE}]|[{_SPACE}]*$")
 #: A word of Latin letters after one space at most, and ASCII marks behind it: the first step of the encoding
 #: cuts between them and nowhere else, so the word can go to the merges at once.
 _WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+([!-/:-@\\[-`{-~]{0,8})$")
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -80,6 +83,7 @@ class Encoder:
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
+        self.room = MEMO
         self.strange = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -101,33 +105,41 @@ class Encoder:
         ids = [token.id for token in self.tokenizer.model.tokenize(units)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _remember(self, part: str, ids: bytes) -> bool:
+        """Keep the ids of a part if there is room."""
+        if self.room <= 0:
+            return False
+        self.known[part] = ids
+        self.room -= len(part) + len(ids) + MEMO_ENTRY
+        return True
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of unknown parts. Short ones are remembered while there is room, the others are returned."""
-        known, spare, fresh, odd = self.known, {}, [], []
-        room = MEMO - len(known)
+        known, spare, fresh, odd, other = self.known, {}, [], [], {}
         for part in missing:
             if len(part) <= 64 and (match := _WORD.match(part)):
                 mark = match[1]
                 word = part[:-len(mark)] if mark else part
-                into = known if room > 0 else spare
-                if (ids := known.get(word)) is None:
-                    ids = into[word] = self._word(word)
-                    room -= 1
+                if (ids := known.get(word) or spare.get(word)) is None:
+                    ids = self._word(word)
+                    if not self._remember(word, ids):
+                        spare[word] = ids
                 if mark:
                     if mark not in self.marks:
                         self.marks[mark] = self._library([mark])[0]
-                    into[part] = ids + self.marks[mark]
-                    room -= 1
+                    if not self._remember(part, ids + self.marks[mark]):
+                        spare[part] = ids + self.marks[mark]
             else:
                 # a part that starts with one space at most stands alone on its line
                 (odd if _ODD.match(part) else fresh).append(part)
         for k in range(0, len(fresh), 1000):
-            spare.update(zip(fresh[k:k + 1000], self._parts(fresh[k:k + 1000]), strict=True))
+            other.update(zip(fresh[k:k + 1000], self._parts(fresh[k:k + 1000]), strict=True))
         if odd:
-            spare.update(zip(odd, self._library(odd), strict=True))
-        if room > 0:
-            known.update((part, ids) for part, ids in spare.items() if len(part) <= 64)
-        else:
+            other.update(zip(odd, self._library(odd), strict=True))
+        for part, ids in other.items():
+            if len(part) > 64 or not self._remember(part, ids):
+                spare[part] = ids
+        if self.room <= 0:
             self.strange += len(missing)
         return spare
 
@@ -144,18 +156,15 @@ class Encoder:
             for k in at:
                 ids[k] = known[x[k]] if x[k] in known else spare[x[k]]
             out.append(b"".join(ids) if ids is not None else self._library([text])[0])
-        if self.strange > 4 * MEMO:  # the texts have changed, what is remembered is of little use
+        if self.strange > MEMO // RENEW:  # the texts have changed, what is remembered is of little use
             known.clear()
             self.marks.clear()
-            self.strange = 0
+            self.room, self.strange = MEMO, 0
         return out
 
 
 def encoder(content: str) -> Encoder:
-    key = str(zlib.crc32(content.encode()))
-    if key not in _encoders:
-        _encoders[key] = Encoder(content)
-    return _encoders[key]
+    return held(f"encoder:{zlib.crc32(content.encode())}", lambda: Encoder(content))
 
 
 def pack(ids: np.ndarray, planes: str = "byte", block_ids: int = BLOCK_IDS) -> bytes:

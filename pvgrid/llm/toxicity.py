@@ -14,11 +14,13 @@ words and their share), and a logistic model of the document labels turns them i
 of the training rows. Words with a probability of one half or more are reported as ranges of the original.
 
 Size: the field is learned from a bounded, documented sample: at most about ``max_docs`` labelled rows of
-either class, chosen by a hash of the id and weighted back to their share. Its vocabulary and gradients are bounded by the
-sample and ``max_words``. All documents are scored in one scan without a shuffle, over their whole texts.
+either class, chosen by a hash of the id and weighted back to their share. Its vocabulary, all words of the sample
+that tell the classes apart at all, and so its gradients are bounded by the sample; ``FIT_TASKS`` tasks return one each
+step. All documents are scored in one scan without a shuffle, over their whole texts.
 
 Defined cases: a null or empty text has no words and gets the score of a text without offending words;
-without toxic or without clean training rows every score is the share of toxic ones (0 without any);
+without toxic or without clean training rows among the documents every score is the share of toxic ones among
+the labels to learn from (0 without any);
 a null id counts as empty text when rows are held out; rows without a label are not learned from;
 repeated label rows of a document count once, as toxic if any says so; other columns are not read.
 """
@@ -37,13 +39,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pvgrid.llm.common import WORD_BYTES, char_offsets, hold_out, map_arrow, map_batches, stage, word_bounds
+from pvgrid.llm.common import WORD_BYTES, char_offsets, held, hold_out, map_arrow, map_batches, stage, word_bounds
 
 MAX_DOCS = 4000
-MAX_WORDS = 20_000
 MIN_FAMILIES = 3
-LIFT = 8.0
-CONFIDENT = 3.0
+LIFT = 6.0
+CONFIDENT = 2.0
+#: Tasks that fit the field; each returns one gradient a step.
+FIT_TASKS = 8
+#: Texts are scored in groups of about so many characters.
+GROUP_CHARS = 500_000
 STEPS = 24
 PENALTY = 1e-3
 THRESHOLD = 0.7
@@ -51,7 +56,6 @@ SEED = 17
 
 #: Capitals and separators as in ``WORD_BYTES``, but the end of a line is kept.
 _LINE_BYTES = bytes(0x0A if b == 0x0A else WORD_BYTES[b] for b in range(256))
-_cache: dict[str, tuple] = {}
 
 
 @dataclass
@@ -150,7 +154,7 @@ def features(total: np.ndarray, n_words: int) -> list[float]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int) -> DataFrame | None:
-    """(text, toxic, weight, fit): at most about ``max_docs`` rows of either class; None without both classes."""
+    """(text, toxic, weight, fit): at most about ``max_docs`` rows of either class; None without both among the documents."""
     chance = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 20))
     known = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
              .where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -163,10 +167,11 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int)
     chosen = known.where(chance < keep * (1 << 20)).withColumn("weight", 1.0 / keep)
     # bounded by max_docs per class, so the texts stay where they are
     rows = docs.select(F.col("id"), F.col("_text")).join(F.broadcast(chosen), "id")
-    return stage(rows.select("_text", "toxic", "weight", (chance % 4 != 0).alias("fit"), "id"), "toxic-sample")
+    sample = stage(rows.select("_text", "toxic", "weight", (chance % 4 != 0).alias("fit"), "id"), "toxic-sample")
+    return sample if sample.select("toxic").distinct().count() == 2 else None
 
 
-def _offending(sample: DataFrame, max_words: int):
+def _offending(sample: DataFrame):
     """(words of the vocabulary, whether offending): from families of toxic and of clean documents."""
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("family", T.LongType()),
                            T.StructField("toxic", T.IntegerType())])
@@ -193,12 +198,12 @@ def _offending(sample: DataFrame, max_words: int):
     marked = counts.select("word", ((ratio > math.log(LIFT)) & (ratio / error > CONFIDENT)
                                     & (F.col("a") >= MIN_FAMILIES)).alias("offending"),
                            F.abs(ratio / error).alias("strength"))
-    return (marked.where("strength > 1").orderBy(F.desc("offending"), F.desc("strength"), "word").limit(max_words)
-            .select("word", "offending").toArrow())
+    # of the words of a bounded sample, those that tell anything
+    return marked.where("strength > 1").orderBy("word").select("word", "offending").toArrow()
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_docs: int = MAX_DOCS,
-          max_words: int = MAX_WORDS, steps: int = STEPS) -> Field:
+          steps: int = STEPS) -> Field:
     """Fit the field and the document model on (id, _text) rows and their labels."""
     held_out = hold_out(F.col("id"), 3, 1) if held_out is None else held_out
     sc = docs.sparkSession.sparkContext
@@ -206,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ma
     if sample is None:
         share = labels.where(F.col("toxic").isNotNull()).where(~hold_out(F.col("doc_id"), 3, 1)).agg(F.avg("toxic")).first()[0]
         return Field({}, np.zeros(8), np.zeros(4), float(share or 0.0))
-    found = _offending(sample, max_words)
+    found = _offending(sample)
     words = {w.encode(): k for k, w in enumerate(found["word"].to_pylist())}
     n, offending = len(words), np.append(found["offending"].to_numpy(), False)
     shared = sc.broadcast((words, offending))
@@ -222,7 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ma
             return [[a.tobytes() for a, _ in rows], [b.tobytes() for _, b in rows], *batch.columns[1:]]
         return work
 
-    rows = stage(map_batches(sample.select("_text", "toxic", "weight", "fit"), encoded, make), "toxic-lines")
+    rows = map_batches(sample.select("_text", "toxic", "weight", "fit"), encoded, make)
+    rows = stage(rows.repartition(FIT_TASKS), "toxic-lines")
     size = n + 1
     w, m, v = np.zeros(3 * size + 5), 0.0, 0.0
     w[3 * size] = -4.0
@@ -236,13 +242,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ma
                 ids, sizes, tags, weight = _stacked(batch, marked)
                 total += gradient(now.value, n, ids, sizes, tags, weight)
                 weights += weight.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weights])],
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([weights])],
                                              names=["gradient", "words"])
 
         parts = map_arrow(rows.where("fit"), run, one).collect()
         # in units of a thousand words; added in a fixed order, so tasks may end in any
         scale = sum(sorted(p["words"] for p in parts)) / 1000 or 1.0
-        g = sum(np.frombuffer(x) for x in sorted(p["gradient"] for p in parts)) / scale
+        g = sum(np.frombuffer(x, np.float32).astype(float) for x in sorted(p["gradient"] for p in parts)) / scale
         g[:3 * size] -= PENALTY * w[:3 * size]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g  # Adam: words differ widely in frequency
         w = w + 0.5 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-3)
@@ -325,10 +331,7 @@ def _spans(text: str, offending: np.ndarray) -> list:
 
 def _scorer(key: str, shared):
     """texts -> (scores, spans), with the broadcast field; kept in the Python worker."""
-    if key not in _cache:
-        _cache.clear()
-        _cache[key] = shared.value
-    field = _cache[key]
+    field = held(f"toxicity:{key}", lambda: shared.value)
 
     def score(texts: list):
         if not field.words:
@@ -336,7 +339,7 @@ def _scorer(key: str, shared):
         scores, spans, lo, chars = [], [], 0, 0
         for k, text in enumerate(texts):
             chars += len(text or "")
-            if chars >= 2_000_000 or k + 1 == len(texts):
+            if chars >= GROUP_CHARS or k + 1 == len(texts):
                 group = texts[lo:k + 1]
                 rows = [read_lines(t, field.words) for t in group]
                 odds, x = _documents(field.weights, len(field.words), [r[0] for r in rows], [r[1] for r in rows])
