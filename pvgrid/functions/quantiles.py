@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def group_quantile(x: Column, p: float) -> Column:
     return F.percentile_approx(x, F.lit(p), F.lit(ACCURACY))
 
 
+def group_quantiles(x: Column, ps: Iterable[float]) -> Column:
+    """Several quantiles from one sketch, as an array in the order of ``ps``."""
+    return F.percentile_approx(x, F.array(*[F.lit(float(p)) for p in ps]), F.lit(ACCURACY))
+
+
 def frame_quantile(x: Column, ordered: WindowSpec, p: float = 0.6, before: int = 3, after: int = 3) -> Column:
     """Quantile over the rows ``before`` .. ``after`` of the current row, nulls ignored.
 

@@ -153,11 +153,14 @@ def voltvar_conformance(site: DataFrame, uncurtailed: DataFrame | None = None,
         F.count("nonconformance_voltvar").alias("total_count"))
 
 
+def voltvar_red_columns() -> dict[str, Column]:
+    """Sum and count of the classes that harm the grid, of daily conformance rows."""
+    return {f"nonconformance_voltvar_red_{kind}": _total(tuple(f"{c}_{kind}" for c in RED_CLASSES)) for kind in ("sum", "count")}
+
+
 def voltvar_red(conformance: DataFrame) -> DataFrame:
     """Add sum and count of the classes that harm the grid."""
-    return conformance.withColumns({
-        f"nonconformance_voltvar_red_{kind}": _total(tuple(f"{c}_{kind}" for c in RED_CLASSES))
-        for kind in ("sum", "count")})
+    return conformance.withColumns(voltvar_red_columns())
 
 
 def _directions() -> dict[str, Column]:

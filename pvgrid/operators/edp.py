@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pvgrid.functions.curves import apparent_power, voltvar_q, voltwatt_limit
 from pvgrid.functions.exact import exact_avg, exact_sum, micro_sum, strict_greatest
 from pvgrid.functions.previous import with_previous
+from pvgrid.session import stage
 
 
 def edp_site_rating(sites: DataFrame, postcodes: DataFrame, state: str = "SA") -> DataFrame:
@@ -60,6 +61,7 @@ def process_edp(readings: DataFrame, ratings: DataFrame, offset_minutes: int = 5
         "Q_voltvar_max": F.col("Q_voltvar") + margin,
         "Q_voltvar_min": F.col("Q_voltvar") - margin,
         "Q_noncomp": F.abs(F.abs(q - F.col("Q_voltvar")) - margin)})
+    site = stage(site, "edp-rows")  # read for the flag and for the rows
     ever = site.groupBy("edp_site_id").agg(F.max(F.col("active_power") > F.col("Srated")).alias("wrong_on_maxP"))
     return site.join(ever, "edp_site_id").select(*site.columns, "wrong_on_maxP")
 
@@ -101,9 +103,9 @@ def interpolate_time(df: DataFrame, keys: tuple[str, ...], time: str, values: tu
     ``keys`` name one series (postcode and site for a fleet); ``tie`` orders equal times.
     Series are cut into days: a window covers one series and day, and what a day needs from
     its neighbours (the row before it, the first known value after it) comes from a
-    one-row summary per day. The input is read twice; stage it when it is expensive.
+    one-row summary per day. The input is computed once and staged.
     """
-    df = df.withColumn("_chunk", F.to_date(time))
+    df = stage(df.withColumn("_chunk", F.to_date(time)), "gaps")
     chunk_keys = [*keys, "_chunk"]
     order = Window.partitionBy(*chunk_keys).orderBy(time, *tie)
     backwards = (Window.partitionBy(*chunk_keys)

@@ -214,24 +214,46 @@ def estimates_below_measured(uncurtailed: DataFrame) -> DataFrame:
     return uncurtailed.where(F.col("uncurtailed_P") < F.col("P_kw"))
 
 
-def peak_power_regression(peaks: DataFrame):
-    """Least-squares fit of max_P_kw on GHI_T and max_GHI; returns the fitted ML model."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+#: Below this share of the product of variances the two drivers count as one line.
+COLLINEAR = 1e-12
 
-    rows = VectorAssembler(inputCols=["GHI_T", "max_GHI"], outputCol="features",
-                           handleInvalid="skip").transform(peaks.where(F.col("max_P_kw").isNotNull()))
-    return LinearRegression(labelCol="max_P_kw", predictionCol="max_P_kw_pred", solver="normal").fit(rows)
 
+def _usable(peaks: DataFrame) -> DataFrame:
+    """Rows with all three values; NaN counts as missing."""
+    present = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("max_P_kw", "GHI_T", "max_GHI")]
+    return peaks.where(present[0] & present[1] & present[2])
 
-def peak_power_predictions(peaks: DataFrame) -> DataFrame:
-    """Site-days with the peak power predicted from irradiance and temperature."""
-    from pyspark.ml.feature import VectorAssembler
 
-    model = peak_power_regression(peaks)
-    rows = VectorAssembler(inputCols=["GHI_T", "max_GHI"], outputCol="features",
-                           handleInvalid="skip").transform(peaks.where(F.col("max_P_kw").isNotNull()))
-    return model.transform(rows).drop("features")
+def peak_power_regression(peaks: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Least squares of max_P_kw on GHI_T and max_GHI: n, intercept, b_temperature, b_ghi, per group or overall.
+
+    One aggregation of centred moments, which tasks merge, and the normal equations solved in the row of each group, so
+    a fit per site costs no more than one for all. Drivers that don't vary apart from each other share one line: the
+    first that varies has a slope, the other's is 0.
+    """
+    y, t, g = (F.col(c).cast("double") for c in ("max_P_kw", "GHI_T", "max_GHI"))
+    moments = {"n": F.count("*"), "_y": F.avg(y), "_t": F.avg(t), "_g": F.avg(g), "_tt": F.var_pop(t), "_gg": F.var_pop(g),
+               "_tg": F.covar_pop(t, g), "_ty": F.covar_pop(t, y), "_gy": F.covar_pop(g, y)}
+    rows = _usable(peaks).groupBy(*groups).agg(*[e.alias(n) for n, e in moments.items()]).where("n > 0")
+    tt, gg, tg, ty, gy = (F.col(c) for c in ("_tt", "_gg", "_tg", "_ty", "_gy"))
+    det = tt * gg - tg * tg
+    regular = det > F.lit(COLLINEAR) * tt * gg
+    slope_t = F.when(regular, F.try_divide(ty * gg - gy * tg, det)).when(tt > 0, F.try_divide(ty, tt)).otherwise(F.lit(0.0))
+    slope_g = F.when(regular, F.try_divide(gy * tt - ty * tg, det)).when((tt <= 0) & (gg > 0), F.try_divide(gy, gg)).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"b_temperature": slope_t, "b_ghi": slope_g})
+    intercept = F.col("_y") - F.col("b_temperature") * F.col("_t") - F.col("b_ghi") * F.col("_g")
+    return rows.select(*groups, "n", intercept.alias("intercept"), "b_temperature", "b_ghi")
+
+
+def peak_power_predictions(peaks: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Site-days with the peak power predicted from irradiance and temperature, by the fit of their group."""
+    fits = peak_power_regression(peaks, groups).drop("n")
+    rows = _usable(peaks)
+    # the fit of all rows is one row
+    joined = rows.join(fits, list(groups)) if groups else rows.withColumn("_fit", F.lit(1)).join(
+        F.broadcast(fits.withColumn("_fit", F.lit(1))), "_fit").drop("_fit")
+    predicted = F.col("intercept") + F.col("b_temperature") * F.col("GHI_T") + F.col("b_ghi") * F.col("max_GHI")
+    return joined.withColumn("max_P_kw_pred", predicted).drop("intercept", "b_temperature", "b_ghi")
 
 
 def regression_quality(predicted: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pvgrid.functions.curves import apparent_power, power_factor
 from pvgrid.functions.exact import exact_avg, quantise, wide_avg
-from pvgrid.functions.quantiles import group_quantile
+from pvgrid.functions.quantiles import group_quantiles
 from pvgrid.operators.site import circuit_readings, site_power
 
 # Manufacturer spellings and network operators in scope.
@@ -74,9 +74,8 @@ def state_voltage(ts: DataFrame, meta: DataFrame, v_lo: float = 180, v_hi: float
                             v_lo=v_lo, v_hi=v_hi, inclusive=True, meta_pv_only=False)
     site = rows.groupBy("site_id", "state", "t_stamp").agg(exact_avg(F.col("voltage")).alias("V"))
     return site.groupBy("state").agg(
-        F.count("*").alias("n"), wide_avg(F.col("V")).alias("V_mean"),
-        *[group_quantile(F.col("V"), p).alias(name)
-          for name, p in (("V_01", 0.01), ("V_50", 0.5), ("V_99", 0.99))])
+        F.count("*").alias("n"), wide_avg(F.col("V")).alias("V_mean"), group_quantiles(F.col("V"), (0.01, 0.5, 0.99)).alias("_v")).select(
+        "state", "n", "V_mean", *[F.get("_v", F.lit(k)).alias(name) for k, name in enumerate(("V_01", "V_50", "V_99"))])
 
 
 def site_profile(ts: DataFrame, meta: DataFrame, v_lo: float = 0, v_hi: float = 300) -> DataFrame:
@@ -91,9 +90,10 @@ def site_profile(ts: DataFrame, meta: DataFrame, v_lo: float = 0, v_hi: float =
     site = site.withColumns({
         "S": apparent_power(p, q),
         "PF": F.when(responsive, quantise(power_factor(p, q)))})
-    quantiles = {"S_99": ("S", 0.99), "pf_01": ("PF", 0.01), "v_01": ("V", 0.01), "v_05": ("V", 0.05),
-                 "v_95": ("V", 0.95), "v_99": ("V", 0.99)}
-    return site.groupBy("site_id").agg(
-        *[group_quantile(F.col(c), pr).alias(name) for name, (c, pr) in quantiles.items()],
+    quantiles = {"S": {"S_99": 0.99}, "PF": {"pf_01": 0.01}, "V": {"v_01": 0.01, "v_05": 0.05, "v_95": 0.95, "v_99": 0.99}}
+    found = site.groupBy("site_id").agg(
+        *[group_quantiles(F.col(c), names.values()).alias(f"_{c}") for c, names in quantiles.items()],
         exact_avg(F.col("PF")).alias("avg_pf"),
         F.min("t_stamp").alias("min_time"), F.max("t_stamp").alias("max_time"))
+    return found.select("site_id", *[F.get(f"_{c}", F.lit(k)).alias(n) for c, names in quantiles.items() for k, n in enumerate(names)],
+                        "avg_pf", "min_time", "max_time")

@@ -9,7 +9,8 @@ from pvgrid.functions.curves import power_factor
 from pvgrid.functions.exact import exact_avg, quantise
 from pvgrid.functions.localtime import calendar
 from pvgrid.functions.ordinal import global_ordinal
-from pvgrid.functions.quantiles import group_quantile
+from pvgrid.functions.quantiles import group_quantiles
+from pvgrid.functions.slots import distinct_times
 from pvgrid.operators.clearsky import hold_to_5min
 from pvgrid.operators.conformance import voltvar_deviation
 
@@ -32,19 +33,19 @@ def _is_zero_export():
 def zero_export_high_voltage(role: DataFrame) -> DataFrame:
     """Time stamps per site and month with high voltage although nothing is exported."""
     return (_monthly(role).where(_is_zero_export()).groupBy("year", "month", "site_id")
-            .agg(F.countDistinct("t_stamp").alias("n_time")))
+            .agg(distinct_times(F.col("t_stamp")).alias("n_time")))
 
 
 def observed_time(role: DataFrame) -> DataFrame:
     """All observed time stamps per site and month."""
     return (_monthly(role).groupBy("year", "month", "site_id")
-            .agg(F.countDistinct("t_stamp").alias("total_time")))
+            .agg(distinct_times(F.col("t_stamp")).alias("total_time")))
 
 
 def solar_time(role: DataFrame) -> DataFrame:
     """Time stamps per site and month with substantial PV output."""
     return (_monthly(role).where(_is_solar()).groupBy("year", "month", "site_id")
-            .agg(F.countDistinct("t_stamp").alias("total_time_pv")))
+            .agg(distinct_times(F.col("t_stamp")).alias("total_time_pv")))
 
 
 def high_voltage_sites(role: DataFrame) -> DataFrame:
@@ -70,11 +71,11 @@ def exposure_share(n_time: DataFrame, total: DataFrame, solar: DataFrame) -> Dat
 
 def zero_export_exposure(role: DataFrame) -> DataFrame:
     """:func:`exposure_share` of zero export, all three reports from one aggregation."""
-    cell = _monthly(role).groupBy("year", "month", "site_id", "t_stamp").agg(
-        F.bool_or(_is_zero_export()).alias("zero"), F.bool_or(_is_solar()).alias("solar"))
-    counts = cell.groupBy("site_id").agg(
-        F.count_if("zero").alias("n_time"), F.count("*").alias("total_time"),
-        F.count_if("solar").alias("total_time_pv"))
+    t = F.col("t_stamp")
+    months = _monthly(role).groupBy("year", "month", "site_id").agg(
+        distinct_times(t, _is_zero_export()).alias("n_time"), distinct_times(t).alias("total_time"),
+        distinct_times(t, _is_solar()).alias("total_time_pv"))
+    counts = months.groupBy("site_id").agg(*[F.sum(c).alias(c) for c in ("n_time", "total_time", "total_time_pv")])
     counts = counts.where((F.col("n_time") > 0) & (F.col("total_time_pv") > 0))
     n = F.col("n_time").cast("double")
     counts = counts.withColumns({
@@ -93,7 +94,7 @@ def conformant_but_high_voltage(site: DataFrame, surplus_is_nonconformant: bool
     # columns and repeat their whole definition at every reference.
     hit = (F.col("deviation") == 0) & (F.col("Q_max") < 0)
     rows = _monthly(rows).select("year", "month", "site_id", F.when(hit, F.col("t_stamp")).alias("hit_time"))
-    return (rows.groupBy("year", "month", "site_id").agg(F.countDistinct("hit_time").alias("n_time"))
+    return (rows.groupBy("year", "month", "site_id").agg(distinct_times(F.col("hit_time")).alias("n_time"))
             .where(F.col("n_time") > 0))
 
 
@@ -112,13 +113,13 @@ def deadband_irradiance_coverage(site: DataFrame, meta: DataFrame, solar: DataFr
     held = hold_to_5min(grid).withColumnRenamed("time_5min", "t_stamp")
     rows = site.join(held, [*cell, "t_stamp"]).where(F.col("GHI") > 0)
     ghi, inside = F.col("GHI"), F.col("V").between(v_lo, v_hi)
-    quantiles = (("p1", 0.01), ("p50", 0.5), ("p99", 0.99))
+    quantiles = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
     out = rows.groupBy("site_id").agg(
-        F.count_if(inside).alias("num_data_vlim"),
-        *[group_quantile(F.when(inside, ghi), p).alias(f"GHI_{n}_vlim") for n, p in quantiles],
-        F.count("*").alias("num_data_vall"),
-        *[group_quantile(ghi, p).alias(f"GHI_{n}_vall") for n, p in quantiles])
-    return out.where(F.col("num_data_vlim") > 0)
+        F.count_if(inside).alias("num_data_vlim"), group_quantiles(F.when(inside, ghi), quantiles.values()).alias("_vlim"),
+        F.count("*").alias("num_data_vall"), group_quantiles(ghi, quantiles.values()).alias("_vall"))
+    return out.where(F.col("num_data_vlim") > 0).select(
+        "site_id", "num_data_vlim", *[F.get("_vlim", F.lit(k)).alias(f"GHI_{n}_vlim") for k, n in enumerate(quantiles)],
+        "num_data_vall", *[F.get("_vall", F.lit(k)).alias(f"GHI_{n}_vall") for k, n in enumerate(quantiles)])
 
 
 def poorly_covered_sites(coverage: DataFrame, few: int = 10, many: int = 500) -> DataFrame:
@@ -134,5 +135,5 @@ def site_pf_stats(site: DataFrame) -> DataFrame:
     pf = F.col("pf")
     return rows.groupBy("site_id").agg(
         exact_avg(pf).alias("avg_pf"), F.stddev_pop(pf).alias("std_pf"),
-        group_quantile(pf, 0.99).alias("pf_99"), group_quantile(pf, 0.5).alias("pf_50"),
-        group_quantile(pf, 0.05).alias("pf_05"))
+        group_quantiles(pf, (0.99, 0.5, 0.05)).alias("_pf")).select(
+        "site_id", "avg_pf", "std_pf", *[F.get("_pf", F.lit(k)).alias(n) for k, n in enumerate(("pf_99", "pf_50", "pf_05"))])

@@ -2,7 +2,8 @@
 
 Windows are bounded whatever the data size: after site aggregation a window group is
 one site in one calendar month (or one local day), at most one row per time stamp.
-Lags therefore start afresh each month, which is also how a month-by-month run behaves.
+Lags start afresh each month, which is also how a month-by-month run behaves, or take the last rows of earlier
+months from a summary of a few rows per month.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ from pyspark.sql import functions as F
 from pvgrid.functions.curves import TOLERANCE
 from pvgrid.functions.exact import count_positive, exact_sum
 from pvgrid.functions.localtime import calendar, day_night, local_day
+from pvgrid.functions.previous import with_lagged
 
 ANTI_ISLANDING_THRESHOLDS = (260, 261, 262, 263, 264, 265)
 SUSTAINED_THRESHOLDS = (253, 254, 255, 256, 257, 258)
 
 
 def with_lags(site: DataFrame, lags: int = 3, reset_monthly: bool = True) -> DataFrame:
-    """Add prev_V_k and prev_P_k for the last ``lags`` samples of the site."""
+    """Add prev_V_k and prev_P_k for the last ``lags`` samples of the site, of the same month or of any."""
     t = F.col("t_stamp")
-    group = [F.col("site_id")] + ([F.year(t), F.month(t)] if reset_monthly else [])
-    w = Window.partitionBy(*group).orderBy("t_stamp", "ac_capacity_kw")
+    if not reset_monthly and lags:
+        rows = with_lagged(site, ("site_id",), ("_month", F.date_trunc("month", t)), ("t_stamp", "ac_capacity_kw"), ("V", "P_kW"), lags)
+        before = {k: F.get("_before", F.lit(k - 1)) for k in range(1, lags + 1)}
+        return rows.withColumns({f"prev_{n}_{k}": e[c] for k, e in before.items() for n, c in (("V", "V"), ("P", "P_kW"))}).drop("_before")
+    w = Window.partitionBy("site_id", F.year(t), F.month(t)).orderBy("t_stamp", "ac_capacity_kw")
     columns = {}
     for k in range(1, lags + 1):
         columns[f"prev_V_{k}"] = F.lag("V", k).over(w)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from pvgrid.operators import estimator
 from pvgrid.operators.site import site_power
-from pvgrid.session import stage
+from pvgrid.session import stage, stage_bucketed
 
 
 @dataclass
@@ -30,6 +32,10 @@ class Fitted:
         return estimator.voltwatt_uncurtailed(self.structured, self.model, self.accepted_sites())
 
 
+#: What a stored row is found by. A site's rows are dealt to all buckets, so a large site fills none of them.
+READING = ("site_id", "t_stamp")
+
+
 @dataclass
 class SiteRows:
     """All PV sites' rows from one scan of the readings, staged; the eligible ones with their cell."""
@@ -40,7 +46,7 @@ class SiteRows:
 
 def site_rows(ts: DataFrame, meta: DataFrame) -> SiteRows:
     """Aggregate the readings once for the reports and for the estimator, which skips flexible-export sites."""
-    rows = stage(site_power(ts, meta, cell=True), "site-rows")
+    rows = stage_bucketed(site_power(ts, meta, cell=True), "site_rows", READING)
     wanted = meta.where("is_pv AND NOT flex_export_detected").select("site_id").distinct()
     return SiteRows(rows.drop("latitude", "longitude"), rows.join(wanted, "site_id", "left_semi"))
 
@@ -57,3 +63,32 @@ def fit(structured: DataFrame, fraction: float = 0.8, seed: int = 0) -> Fitted:
     labelled = stage(rows.join(days, ["site_id", "actual_day"]), "labelled")
     model = stage(estimator.fit_ghi_norm_model(labelled.where("day_type = 'train'")), "model")
     return Fitted(table, labelled, model)
+
+
+class HandOff:
+    """What the chain hands to later reports, each table stored once, when it is first asked for.
+
+    Site rows and both tables of estimates are bucketed by site and time, so the reports join them without a
+    shuffle of either; structured rows and model are staged by :func:`fit`.
+    """
+
+    def __init__(self, ts: DataFrame, meta: DataFrame, eligible: Callable[[], DataFrame],
+                 structured: Callable[[DataFrame], DataFrame]) -> None:
+        self._ts, self._meta, self._eligible, self._structured = ts, meta, eligible, structured
+
+    @cached_property
+    def site(self) -> SiteRows:
+        return site_rows(self._ts, self._meta)
+
+    @cached_property
+    def chain(self) -> Fitted:
+        """The fitted chain; from the stored site rows if there are any, so that readings are scanned once."""
+        return fit(self._structured(self.site.eligible if "site" in vars(self) else self._eligible()))
+
+    @cached_property
+    def all_uncurtailed(self) -> DataFrame:
+        return stage_bucketed(self.chain.all_uncurtailed(), "all_uncurtailed", READING)
+
+    @cached_property
+    def voltwatt_uncurtailed(self) -> DataFrame:
+        return stage_bucketed(self.chain.voltwatt_uncurtailed(), "voltwatt_uncurtailed", READING)

@@ -111,10 +111,13 @@ VOLTWATT = ("vw", f"SELECT *, greatest(0e0, P_kW - P_limit) AS excess, {YMD} FRO
                   f"(SELECT *, ({LIMIT}) + 0.04e0 * {S} AS P_limit FROM site WHERE V > 253)")
 
 
-@register("voltwatt_conformance", with_views(f"""
+VOLTWATT_DAILY = ("vw_daily", f"""
 SELECT year, month, day, site_id, {xsum('P_kW')} AS P_kW_sum, {xsum('excess')} AS nonconformance_voltwatt_sum,
        {npos('excess')} AS nonconformance_voltwatt_count, COUNT(excess) AS total_count
-FROM vw GROUP BY year, month, day, site_id""", SITE, VOLTWATT, views=BASE))
+FROM vw GROUP BY year, month, day, site_id""")
+
+
+@register("voltwatt_conformance", with_views("SELECT * FROM vw_daily", SITE, VOLTWATT, VOLTWATT_DAILY, views=BASE))
 def voltwatt(spark, sf_dir):
     return conformance.voltwatt_conformance(canonical_site(spark, sf_dir))
 

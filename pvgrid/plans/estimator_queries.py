@@ -9,12 +9,12 @@ from pvgrid.functions.exact import quantise
 from pvgrid.operators import clearsky, conformance, estimator, sequences, weather
 from pvgrid.operators.site import site_power
 from pvgrid.plans import views
-from pvgrid.plans.chain import Fitted, fit, site_rows
+from pvgrid.plans.chain import Fitted, HandOff
 from pvgrid.plans.conformance_queries import (BANDS, BASE, DEVIATION, FLEX_ROWS, SITE, VOLTWATT, flex_site, voltvar_rows_sql,
                                               voltvar_sql)
 from pvgrid.plans.registry import register
 from pvgrid.plans.sql_views import local_day, npos, q6, site, tod, with_views, xavg, xsum
-from pvgrid.session import stage
+from pvgrid.session import kept, stage
 
 SOLAR_BASE = (*BASE, "solar")
 CELLS = ("cells", "SELECT DISTINCT site_id, n_lat AS latitude, n_long AS longitude FROM meta "
@@ -244,8 +244,15 @@ MODEL = ("model", "SELECT site_id, tod_bin, 1e0 - b AS a, b, n FROM (SELECT site
 FIT = (*SKY, eligible("el", "train"), eligible("free", "split"), split_sql("free"), TRAINVAL, MODEL)
 
 
+def hand_off(spark, sf_dir) -> HandOff:
+    """The stored tables of the chain, shared by the reports of an application until they are released."""
+    return kept(spark, ("chain", sf_dir), lambda: HandOff(
+        views.ts(spark, sf_dir), views.meta(spark, sf_dir), lambda: eligible_site(spark, sf_dir),
+        lambda rows: clearsky.structured_data(rows, grid(spark, sf_dir))))
+
+
 def fitted(spark, sf_dir) -> Fitted:
-    return fit(structured(spark, sf_dir))
+    return hand_off(spark, sf_dir).chain
 
 
 @register("eligible_train_rows", with_views("SELECT site_id, t_stamp, tod_bin, x, y FROM el", *SKY, eligible("el", "train"),
@@ -354,17 +361,11 @@ CHAIN = (*SCORED, ACCEPTED)
 
 
 def all_uncurtailed(spark, sf_dir) -> DataFrame:
-    return fitted(spark, sf_dir).all_uncurtailed()
+    return hand_off(spark, sf_dir).all_uncurtailed
 
 
 def voltwatt_uncurtailed(spark, sf_dir) -> DataFrame:
-    return fitted(spark, sf_dir).voltwatt_uncurtailed()
-
-
-def rows_and_chain(spark, sf_dir) -> tuple[DataFrame, Fitted]:
-    """Site rows of the reports and the fitted chain, from one scan of the readings."""
-    rows = site_rows(views.ts(spark, sf_dir), views.meta(spark, sf_dir))
-    return rows.every, fit(clearsky.structured_data(rows.eligible, grid(spark, sf_dir)))
+    return hand_off(spark, sf_dir).voltwatt_uncurtailed
 
 
 @register("all_uncurtailed", with_views("SELECT * FROM all_u", *CHAIN, ALL_U, views=SOLAR_BASE))
@@ -388,16 +389,16 @@ SELECT year, month, day, site_id, {xsum('P_kW')} AS P_kW_sum, {xsum('nc')} AS no
 FROM (SELECT *, CASE WHEN tested THEN excess END AS nc, CASE WHEN lost THEN u - P_kW END AS ct FROM vwg)
 GROUP BY year, month, day, site_id""", *CHAIN, VW_U, VOLTWATT, TESTED, views=SOLAR_BASE))
 def _voltwatt_ghi(spark, sf_dir):
-    rows, chain = rows_and_chain(spark, sf_dir)
-    return conformance.voltwatt_conformance_ghi(rows, chain.voltwatt_uncurtailed())
+    store = hand_off(spark, sf_dir)
+    return conformance.voltwatt_conformance_ghi(store.site.every, store.voltwatt_uncurtailed)
 
 
 @register("voltwatt_low_irradiance_rows", with_views(
     "SELECT site_id, t_stamp, P_kW, u AS uncurtailed_P, V, ac_capacity_kw, P_limit FROM vwg WHERE u < P_limit AND excess = 0",
     *CHAIN, VW_U, VOLTWATT, TESTED, views=SOLAR_BASE))
 def _low_irradiance(spark, sf_dir):
-    rows, chain = rows_and_chain(spark, sf_dir)
-    return conformance.voltwatt_low_irradiance_rows(rows, chain.voltwatt_uncurtailed())
+    store = hand_off(spark, sf_dir)
+    return conformance.voltwatt_low_irradiance_rows(store.site.every, store.voltwatt_uncurtailed)
 
 
 @register("voltwatt_curtailment", with_views(f"""
@@ -407,16 +408,16 @@ SELECT year, month, day, site_id, {xsum('excess')} AS nonconformance_voltwattghi
 FROM (SELECT *, CASE WHEN lost THEN u - P_kW ELSE 0e0 END AS ct FROM vwg WHERE tested)
 GROUP BY year, month, day, site_id""", *CHAIN, VW_U, VOLTWATT, TESTED, views=SOLAR_BASE))
 def _voltwatt_curtailment(spark, sf_dir):
-    rows, chain = rows_and_chain(spark, sf_dir)
-    return conformance.voltwatt_curtailment(rows, chain.voltwatt_uncurtailed())
+    store = hand_off(spark, sf_dir)
+    return conformance.voltwatt_curtailment(store.site.every, store.voltwatt_uncurtailed)
 
 
 @register("voltvar_conformance_curtailment", with_views("SELECT * FROM conf", *CHAIN, ALL_U, BANDS, DEVIATION, (
     "vv", voltvar_rows_sql("uncurtailed_P", "LEFT JOIN all_u ON all_u.site_id = dev.site_id AND all_u.t_stamp = dev.t_stamp")),
     ("conf", voltvar_sql("vv")), views=SOLAR_BASE))
 def _voltvar_curtailment(spark, sf_dir):
-    rows, chain = rows_and_chain(spark, sf_dir)
-    return conformance.voltvar_conformance(rows, chain.all_uncurtailed())
+    store = hand_off(spark, sf_dir)
+    return conformance.voltvar_conformance(store.site.every, store.all_uncurtailed)
 
 
 def _series_sql(source: str, driver: str, where: str = "true") -> str:

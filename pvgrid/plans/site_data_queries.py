@@ -165,7 +165,7 @@ FROM (SELECT *, {', '.join(f'''first_value(CASE WHEN {c} IS NOT NULL THEN time E
 WINDOW w AS (PARTITION BY postcode, edp_site_id ORDER BY time)""", RATING, EDP, GAPPY, views=EDP_VIEWS))
 def _interpolated(spark, sf_dir):
     rows = views.power_gaps(processed(spark, sf_dir))
-    filled = edp.interpolate_time(stage(rows, "edp-rows"), ("postcode", "edp_site_id"), "time",
+    filled = edp.interpolate_time(rows, ("postcode", "edp_site_id"), "time",
                                   ("active_power", "voltage_avg"))
     return filled.withColumns({c: quantise(F.col(c)) for c in ("active_power", "voltage_avg")})
 

@@ -128,10 +128,10 @@ FROM (SELECT s_suppkey AS s FROM supplier), (SELECT unnest([0, 1]) AS unit)
 
 VIEWS["edp_postcodes"] = """
 SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS edp_site_id, CAST(5000 + s_nationkey AS BIGINT) AS postcode
-FROM supplier WHERE s_suppkey % 11 <> 0
+FROM supplier WHERE s_acctbal >= 0
 """
 
-VIEWS["metered"] = "SELECT * FROM meta WHERE is_pv OR site_id % 3 = 0"
+VIEWS["metered"] = "SELECT * FROM meta WHERE is_pv OR site_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)"
 
 VIEWS["locations"] = """
 SELECT c_custkey AS point_id, -40e0 + CAST(c_custkey * 37 % 400 AS DOUBLE) / 16e0 AS latitude,

@@ -131,8 +131,15 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metered_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fleet where two sites in three have no load circuit, so sites differ in their number of circuits."""
-    return meta(spark, sf_dir).where("is_pv OR site_id % 3 = 0")
+    """A fleet where sites in debt have no load circuit, so sites differ in their number of circuits."""
+    paying = in_credit(spark, sf_dir).withColumn("paying", F.lit(True))
+    rows = meta(spark, sf_dir)
+    return rows.join(paying, "site_id", "left").where("is_pv OR paying").select(*rows.columns)
+
+
+def in_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with a balance of zero or more: the sites that other tables know."""
+    return table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("site_id"))
 
 
 def solar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +200,7 @@ def edp_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edp_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").where(s % 11 != 0).select(
+    return table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(
         F.concat(F.lit("S"), s.cast("string")).alias("edp_site_id"),
         (F.lit(5000) + F.col("s_nationkey")).cast("int").alias("postcode"))
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,12 +96,51 @@ def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_named: list[tuple[str, str]] = []
+_kept: dict[tuple[str, ...], object] = {}
+
+
+def staged_name(spark: SparkSession, name: str) -> str:
+    """A new name for a table of the catalog; :func:`release` drops it."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _named.append((spark.sparkContext.applicationId, table))
+    return table
+
+
+def stage_bucketed(df: DataFrame, name: str, keys: Sequence[str], root: str | None = None) -> DataFrame:
+    """Like :func:`stage`, dealt to buckets by ``keys`` and sorted by them.
+
+    Joins of tables staged with the same keys, on all of them, need no shuffle. There are as many buckets as the
+    session has shuffle partitions, each written by one task.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = staged_name(spark, name)
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", staged_path(spark, name, root)).saveAsTable(table))
+    return spark.table(table)
+
+
+def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], object]) -> object:
+    """``make()``, made once by an application for every key until :func:`release`: staged tables several reports read."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables this application has staged; returns how many there were.
 
     Call it when the results that read them have been written or collected.
     """
     app = spark.sparkContext.applicationId
+    for key in [key for key in _kept if key[0] == app]:
+        del _kept[key]
+    for owner, table in _named:
+        if owner == app:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _named[:] = [entry for entry in _named if entry[0] != app]
     mine = [path for owner, path in _staged if owner == app]
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in mine:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pvgrid.sources.tables import replace_table, spread, write_new_months
+
 
 def write_conformance(df: DataFrame, path: str, partitions: Sequence[str] = ("year", "month")) -> None:
     """Write all months in one job, replacing exactly the months present in ``df``.
@@ -14,36 +16,24 @@ def write_conformance(df: DataFrame, path: str, partitions: Sequence[str] = ("ye
     Rows are shuffled to their month first, with a spread within the month so that no
     single task writes a whole month. Running a month again gives the same table.
     """
-    df = df.repartition(*[F.col(c) for c in partitions], *_spread(df, partitions))
+    df = df.repartition(*[F.col(c) for c in partitions], *spread(df, partitions))
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).parquet(path))
 
 
-def _spread(df: DataFrame, partitions: Sequence[str], files: int = 16) -> list[Column]:
-    keys = [c for c in df.columns if c in ("site_id", "circuit_id") and c not in partitions]
-    return [F.pmod(F.hash(*keys), F.lit(files))] if keys else []
-
-
 def create_result_table(df: DataFrame, name: str, partitions: Sequence[str] = (),
                         sort: Sequence[str] = (), path: str | None = None) -> DataFrame:
-    """Drop and rebuild a Parquet table, optionally partitioned and sorted.
+    """Build or rebuild a Parquet table, optionally partitioned and sorted.
 
-    The table is managed, or external with its files at ``path``.
+    See :func:`pvgrid.sources.tables.replace_table`: the old rows stay readable until the new ones are written.
     """
-    spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    keys = [F.col(c) for c in partitions]
-    if keys:
-        df = df.repartition(*keys, *_spread(df, partitions))
-    if sort:
-        df = df.sortWithinPartitions(*partitions, *sort)
-    writer = df.write.format("parquet").mode("overwrite")
-    if path:
-        writer = writer.option("path", path)
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.saveAsTable(name)
-    return spark.table(name)
+    return replace_table(df, name, partitions, sort, path)
+
+
+def continue_conformance(source: DataFrame, path: str, build: Callable[[DataFrame], DataFrame],
+                         again: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Build and write the months of ``source`` that the result below ``path`` lacks; returns them."""
+    return write_new_months(source, path, build, write_conformance, again)
 
 
 def register_result(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -55,7 +45,7 @@ def register_result(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def with_flag(df: DataFrame, column: str, value: Column) -> DataFrame:
-    """Add or replace a column; stands for ADD COLUMN followed by UPDATE."""
+    """Add or replace a column of rows; :func:`pvgrid.sources.tables.update_table` does so in a stored table."""
     return df.withColumn(column, value)
 
 

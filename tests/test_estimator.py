@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,36 @@ def test_peak_power_regression(spark):
     df = spark.createDataFrame(data, "site_id int, GHI_T double, max_GHI double, max_P_kw double")
     quality = estimator.regression_quality(estimator.peak_power_predictions(df)).first()
     assert quality.n == len(data) and quality.r2 == pytest.approx(1.0) and quality.abs_error == pytest.approx(0, abs=1e-6)
+
+
+def test_regression_equals_the_library_fit_overall_and_by_group(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rng = random.Random(3)
+    rows = [(k % 4, 20 + rng.random() * 15, 300 + rng.random() * 700, 0.0) for k in range(400)]
+    rows = [(s, t, g, 0.004 * g - 0.03 * t + s + rng.gauss(0, 0.2)) for s, t, g, _ in rows]
+    df = spark.createDataFrame([*rows, (1, None, 500.0, 1.0), (1, 20.0, 500.0, None), (1, float("nan"), 5.0, 1.0)],
+                               "site_id int, GHI_T double, max_GHI double, max_P_kw double")
+
+    def library(part):
+        part = VectorAssembler(inputCols=["GHI_T", "max_GHI"], outputCol="f").transform(part.where("NOT isnan(GHI_T)").dropna())
+        model = LinearRegression(labelCol="max_P_kw", featuresCol="f", solver="normal").fit(part)
+        return [model.intercept, *model.coefficients]
+
+    one = estimator.peak_power_regression(df).first()
+    assert list(one) == [400, *[pytest.approx(v, rel=1e-9) for v in library(df)]]
+    for r in estimator.peak_power_regression(df, ("site_id",)).collect():
+        assert [r.intercept, r.b_temperature, r.b_ghi] == [pytest.approx(v, rel=1e-8) for v in library(df.where(F.col("site_id") == r.site_id))]
+    assert estimator.peak_power_predictions(df, ("site_id",)).count() == 400
+
+
+def test_regression_without_variation(spark):
+    columns = "GHI_T double, max_GHI double, max_P_kw double"
+    line = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 4.0, 5.0), (3.0, 6.0, 7.0)], columns)
+    assert [round(v, 9) for v in estimator.peak_power_regression(line).first()] == [3, 1.0, 2.0, 0.0]
+    level = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 4.0, 5.0)], columns)
+    assert [round(v, 9) for v in estimator.peak_power_regression(level).first()] == [2, 1.0, 0.0, 1.0]
+    point = spark.createDataFrame([(1.0, 2.0, 3.0)], columns)
+    assert list(estimator.peak_power_regression(point).first()) == [1, 3.0, 0.0, 0.0]
+    assert estimator.peak_power_regression(point.where("false")).collect() == []

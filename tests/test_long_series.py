@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +60,17 @@ def test_steps_and_trips_cross_days(rows):
     power = np.where(np.arange(N) % 97 / 10 < 2, 0.0, np.arange(N) % 97 / 10)
     falls = (np.round(np.minimum(np.diff(power), 0)) <= -1) & (power[1:] < 0.05)
     assert edp.trip_events(table).where("edp_site_id = 1").count() == falls.sum() > 1000
+
+
+def test_distinct_times_are_exact_on_and_off_the_grid(spark):
+    from pvgrid.functions.slots import distinct_times
+
+    start = dt.datetime(2024, 1, 1)
+    times = [start + dt.timedelta(minutes=5 * k) for k in range(8928)] * 2
+    times += [start + dt.timedelta(minutes=5 * k, seconds=s, microseconds=u) for k in (0, 7) for s, u in ((1, 0), (1, 0), (0, 1))] + [None]
+    df = spark.createDataFrame([(t, k % 2 == 0) for k, t in enumerate(times)], "t timestamp, even boolean")
+    got = df.agg(distinct_times(F.col("t")).alias("n"), distinct_times(F.col("t"), F.col("even")).alias("e"),
+                 distinct_times(F.col("t"), F.lit(None).cast("boolean")).alias("none")).first()
+    assert (got.n, got.none) == (8928 + 4, 0)
+    assert got.e == len({t for k, t in enumerate(times) if k % 2 == 0 and t})
+    assert df.where("false").agg(distinct_times(F.col("t")).alias("n")).first().n == 0

@@ -88,3 +88,23 @@ def test_flag_flex_export(spark):
     sites = spark.createDataFrame([(1,), (1,)], "site_id bigint")
     got = {r.circuit_id: r.flex_export_detected for r in sequences.flag_flex_export(meta, sites).collect()}
     assert got == {10: True, 11: True, 20: False}
+
+
+def test_lags_across_months_match_brute_force(spark):
+    """Months with one row, or none, between those a lag reaches over."""
+    rng = random.Random(8)
+    rows = []
+    for s in (1, 2, None):
+        for m in range(1, 13):
+            days = sorted(rng.sample(range(1, 28), rng.choice([0, 1, 1, 2, 9])))
+            rows += [(s, dt.datetime(2024, m, d), 230.0 + rng.randrange(40), rng.random()) for d in days]
+    df = spark.createDataFrame([(*r, 5.0) for r in rows], "site_id bigint, t_stamp timestamp, V double, P_kW double, ac_capacity_kw double")
+    want = set()
+    for s in (1, 2, None):
+        mine = sorted(r[1:] for r in rows if r[0] == s)
+        for k, r in enumerate(mine):
+            want.add((s, r[0], *[mine[k - i][c] if k >= i else None for i in (1, 2, 3) for c in (1, 2)]))
+    got = sequences.with_lags(df, 3, reset_monthly=False)
+    assert got.columns[:5] == df.columns
+    names = [f"prev_{n}_{i}" for i in (1, 2, 3) for n in "VP"]
+    assert {(r.site_id, r.t_stamp, *[r[n] for n in names]) for r in got.collect()} == want and got.count() == len(rows)

@@ -107,3 +107,31 @@ def test_exports(spark, tmp_path):
 def test_with_flag(spark):
     df = sinks.with_flag(result(spark, 1), "early", F.col("month") == 1)
     assert df.where("early").count() == 5
+
+
+HEADER = ("edp_site_id,edp_circuit_label,edp_device_and_circuit,circuit_label,datetime,real_energy,"
+          "reactive_energy,current_avg,current_min,current_max,voltage_avg,voltage_min,voltage_max")
+GOOD = "{s},C,D,pv_site_net,2023-01-01 10:{m:02d}:00,1.5,0.5,1,0,2,240,239,241"
+
+
+def test_broken_lines_are_set_aside(spark, tmp_path):
+    def write(site, lines):
+        (tmp_path / f"{site}.csv").write_text("\n".join(lines) + "\n" if lines else "")
+
+    write("S1", [HEADER] + [GOOD.format(s="S1", m=m) for m in range(30)])
+    write("S2", [])                                                                     # empty
+    write("S3", [HEADER])                                                               # no rows
+    turned = [",".join(reversed(x.split(","))) for x in (HEADER, GOOD.format(s="S4", m=1), GOOD.format(s="S4", m=2))]
+    write("S4", turned)                                                                 # columns in another order
+    cut, text, wide = GOOD.format(s="S5", m=1)[:40], GOOD.format(s="S5", m=2).replace("240", "x40"), GOOD.format(s="S5", m=3) + ",9"
+    write("S5", [HEADER, cut, text, GOOD.format(s="S5", m=4), wide, ""])
+    write("S6", ["a,b,c", "1,2,3"])                                                     # not such a file
+    found = edp.read_edp_checked(spark, f"{tmp_path}/*.csv", max_broken=0.2)
+    assert {r.edp_site_id: r["count"] for r in found.rows.groupBy("edp_site_id").count().collect()} == {"S1": 30, "S4": 2, "S5": 1}
+    assert found.rows.where("edp_site_id = 'S4' AND voltage_avg = 240 AND real_energy = 1.5 AND minute(datetime) IN (1, 2)").count() == 2
+    assert sorted(r.line for r in found.broken.collect()) == sorted([cut, text, wide, "a,b,c", "1,2,3"])
+    report = {r.file[-6:-4]: (r.n_rows, r.n_broken) for r in found.report.collect()}
+    assert report == {"S1": (30, 0), "S4": (2, 0), "S5": (1, 3), "S6": (0, 2)}
+    with pytest.raises(ValueError, match="5 of 38 lines are broken.*S5.csv"):
+        edp.read_edp_checked(spark, f"{tmp_path}/*.csv")
+    assert edp.read_edp_checked(spark, f"{tmp_path}/S2.csv").rows.count() == 0
