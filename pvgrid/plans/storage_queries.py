@@ -83,7 +83,8 @@ def _red_update(spark, sf_dir):
     return spark.table(name)
 
 
-FLAGGED = ("SELECT m.* EXCLUDE (flex_export_detected), site_id IN (SELECT site_id FROM fx GROUP BY site_id, day "
+FLAG_COLUMNS = ("circuit_id", "site_id", "circuit_type", "ac_capacity_kw", "state")
+FLAGGED = (f"SELECT {', '.join(FLAG_COLUMNS)}, site_id IN (SELECT site_id FROM fx GROUP BY site_id, day "
            "HAVING MIN(spread) < 0.004e0) AS flex_export_detected FROM meta m")
 
 
@@ -91,7 +92,8 @@ FLAGGED = ("SELECT m.* EXCLUDE (flex_export_detected), site_id IN (SELECT site_i
 def _flag_update(spark, sf_dir):
     """Circuits stored by state; the flag of flexible export is set anew, which rewrites the states where it changes."""
     name = staged_name(spark, "meta_flagged")
-    create_result_table(views.meta(spark, sf_dir), name, ("state",), ("site_id",), path=staged_path(spark, "meta"))
+    rows = views.meta(spark, sf_dir).select(*FLAG_COLUMNS, "flex_export_detected")
+    create_result_table(rows, name, ("state",), ("site_id",), path=staged_path(spark, "meta"))
     sites = sequences.flex_export_sites(flex_site(spark, sf_dir)).select("site_id")
     update_table(spark, name, {"flex_export_detected": F.col("matched")}, sites, ["site_id"])
     return spark.table(name)
