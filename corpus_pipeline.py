@@ -11,7 +11,7 @@ from pvgrid.llm.decontaminate import drop_contaminated
 from pvgrid.llm.mixing import take_mix
 from pvgrid.llm.planes import token_digest
 from pvgrid.llm.queries import TOKENIZER
-from pvgrid.llm.similar import drop_similar
+from pvgrid.llm.simhash import drop_near_duplicates
 from pvgrid.llm.toxicity import drop_toxic
 from pvgrid.session import prepare
 
@@ -22,9 +22,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more in five-word shingles."""
+    """One document of each group whose SimHashes of three-word shingles link at three differing bits or fewer."""
     prepare(spark)
-    return drop_similar(docs)
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
