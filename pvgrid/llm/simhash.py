@@ -66,6 +66,8 @@ def majority(hashes: np.ndarray) -> int:
             ones[bit::8] += lanes.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(ones * 2 > len(hashes)).tolist())
 
+_ROW = "_pvgrid_row"
+
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp) per row; fp is the unsigned fingerprint stored as a signed 64-bit integer."""
@@ -198,19 +200,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """One document of each component stays, the one that names it; all columns unchanged.
+    """The first row of each component, by id, then row number; all columns unchanged.
 
-    Only ids to drop are joined to the texts. Rows that repeat an id are one document each by their text's
-    hash: the least hash stays, and one row of fully equal ones. A component without any id is kept whole.
+    Rows are told apart by a row number, written with them, so ids may repeat or be null (those come last). Only
+    the rows to drop are joined to the texts.
     """
-    drop = (near_duplicates(docs, id_col, text_col, **params)
-            .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct())
-    kept = docs.join(drop, docs[id_col] == drop["_id"], "left_anti")
-    repeated = stage(docs.groupBy(F.col(id_col).alias("_id")).count().where("_id IS NOT NULL AND count > 1")
-                     .select("_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, kept[id_col] == repeated["_id"], "left_anti")
-    several = kept.join(repeated, kept[id_col] == repeated["_id"], "left_semi")
-    least = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
-    return single.unionByName(several.groupBy(F.col(id_col).alias("_id")).agg(least.alias("_row")).select("_row.*"))
+    numbered = stage(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(_ROW).alias("row"))
+    found = near_duplicates(numbered.select(place.alias("place"), F.col(text_col).alias("_text")), "place", "_text", **params)
+    drop = found.where("place.row <> component_id.row").select(F.col("place.row").alias(_ROW))
+    return numbered.join(drop, _ROW, "left_anti").select(*docs.columns)

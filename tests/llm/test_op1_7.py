@@ -112,8 +112,22 @@ def test_near_duplicates_match_brute_force(spark):
         want += [(i, f"{f:016x}", least) for f in group for i in of[f]]
     got = [(r.doc_id, r.fingerprint, r.component_id) for r in near_duplicates(frame(spark)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    kept = [r.doc_id for r in drop_near_duplicates(frame(spark)).collect()]
-    assert sorted(i for i in kept if i is not None) == sorted({w[2] for w in want if w[2] is not None})
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows of one id, and rows without, are rows of their own; the first row by id of a component stays."""
+    rows = documents()
+    group_of = {f: k for k, group in enumerate(linked(list({fingerprint(r[1]) for r in rows}))) for f in group}
+    first = {}
+    for r in rows:
+        group, key = group_of[fingerprint(r[1])], (r[0] is None, r[0] or 0)
+        if group not in first or key < first[group][0]:
+            first[group] = (key, r[:2])
+    kept = drop_near_duplicates(frame(spark))
+    assert kept.columns == frame(spark).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted((f[1] for f in first.values()), key=repr)
+    alone = [(None, "some text of its own", "en", "s", 1)] * 3 + [(4, "x y z", "en", "s", 1), (4, "quite another text here", "en", "s", 1)]
+    assert drop_near_duplicates(frame(spark, alone)).count() == 3
 
 
 def test_masks_cover_every_choice_of_positions():
