@@ -1,18 +1,23 @@
 """Quality by co-training of two views.
 
-One view is the text's content (what kinds of characters, words and lines it is made of), the other the
-page's metadata (language, source, stated length). Each view has a logistic model. In every round the two
-models score a pool of unlabelled documents; what one is confident about becomes a pseudo-label for the other,
-and leaves the pool. The views' log odds are then calibrated on labelled rows neither model has seen, and
-combined: of views independent given the class, the evidence adds up, weighted by how well each predicts there.
-
-Size: features are computed once, in one scan over whole texts, and written to the shared folder. The models
-are fitted on a bounded, documented sample (at most about ``max_docs`` labelled rows and ``max_pool``
-unlabelled ones, chosen by a hash of the id). Metadata values are hashed to a fixed number of features. All
-documents are scored from the written features.
-
-Defined cases: a null or empty text has features of zero; null metadata is a value of its own; documents
-without a label are scored too; without labelled rows of both classes every score is the share of good ones
+One view is the text's content: which words stand in it, and its shape (what kinds of characters, words and lines it is
+made of, in steps). The other is the page's metadata: language, source, both together, stated length. Either view
+is a set of tokens, and its model weighs a token by how much oftener good documents have it than bad ones, so a model is
+two counts a token and fitting one is a sum over documents. A view's evidence, the mean weight of the words and that of
+the shape, or the mean weight of the metadata, is calibrated on labelled rows that were not counted.
+
+In every round both models score every unlabelled document. Those one view is sure of count, with its label, towards
+the other view's model of the next round. The views' calibrated log odds are then combined on the rows kept for
+calibration: of views independent given the class, the evidence adds up, weighted by how well each predicts there.
+
+Size: tokens are taken once, in one scan over whole texts, and written to the shared folder, about two bytes a
+different word. A round is one pass over them; tasks sum the counts, Spark adds them up, and a model of fixed size goes to
+the driver and back. Words are hashed to 2 ** ``WORD_BITS`` tokens, metadata values to at least ``ROOM`` times
+as many as there are. All labelled rows are counted; only calibration takes a documented sample, at most about ``max_docs``
+rows, chosen by a hash of the id.
+
+Defined cases: a null or empty text has no words and a shape of its own; null metadata is a value of its own; documents
+without a label are scored too; without labelled rows of both classes among the documents every score is the share of good ones
 (0.5 without any); repeated label rows of a document count once, as good only if all say so; rows that
 repeat an id are scored each; other columns are not read.
 """
@@ -22,21 +27,27 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pvgrid.llm.common import hold_out, map_batches, stage
+from pvgrid.llm.common import hold_out, map_arrow, map_batches, stage
 from pvgrid.llm.toxicity import logistic
 
 ROUNDS = 4
-MAX_DOCS = 8000
-MAX_POOL = 8000
+MAX_DOCS = 4000
 CONFIDENT = 0.95
-META_FEATURES = 32
+WORD_BITS = 16
+META_BITS = (10, 20)
+ROOM = 8
+STEPS = 16
+SMOOTHING = 4.0
 SEED = 29
+POOL, FIT, CHECK, OUT = range(4)
 
 #: Kinds of bytes: small letters, capitals, digits, spaces, line ends, sentence marks, bars, other marks, brackets
 #: and quotes, control characters, everything beyond ASCII.
@@ -64,33 +75,51 @@ def text_features(text: str | None) -> list[float]:
             math.log1p(n / len(lines)) / 4]
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    """Of the metadata: hashed values, and the stated length."""
-    out = [0.0] * META_FEATURES
-    for name, value in (("lang", lang), ("source", source)):
-        out[zlib.crc32(f"{name}={value if value is None else repr(str(value))}".encode()) % META_FEATURES] += 1.0
-    size = math.log1p(max(n_chars or 0, 0)) / 8
-    return [*out, size, size * size, float(n_chars is None)]
 
+def words_of(text: str | None) -> np.ndarray:
+    """The different words of a text, hashed; ASCII capitals as small letters."""
+    words = set((text or "").encode().lower().split())
+    return np.unique(np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) >> (32 - WORD_BITS)).astype("<u4")
+
+
+def shape_of(text: str | None) -> np.ndarray:
+    """The steps the features of a text's shape fall on, one for each."""
+    x = np.array(text_features(text))
+    steps = np.clip((x * STEPS).astype(np.int64), 0, STEPS - 1)
+    return (np.arange(len(x)) * STEPS + steps).astype("<u4")
+
+
+N_SHAPES = N_KINDS + 7
+
+
+def meta_of(lang: str | None, source: str | None, n_chars: int | None, bits: int) -> np.ndarray:
+    """Language, source, both, and the stated length, hashed."""
+    size = None if n_chars is None else int(2 * math.log2(max(n_chars, 0) + 1))
+    values = (f"l{lang!r}", f"s{source!r}", f"b{lang!r}{source!r}", f"n{size}")
+    return np.array([zlib.crc32(v.encode()) >> (32 - bits) for v in values], "<u4")
 
-def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str) -> DataFrame:
-    """(id, content, meta) per document."""
-    rows = docs.select(F.col(id_col).alias("id"), text_col, lang_col, source_col, size_col)
-    schema = T.StructType([rows.schema[0], T.StructField("content", T.ArrayType(T.DoubleType())),
-                           T.StructField("meta", T.ArrayType(T.DoubleType()))])
+
+def tokens(docs: DataFrame, bits: int, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str) -> DataFrame:
+    """(id, words, shape, meta) per document: tokens of 32 bits."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"),
+                       F.col(source_col).cast("string"), F.col(size_col).cast("long"))
+    schema = T.StructType([rows.schema[0], *(T.StructField(c, T.BinaryType()) for c in ("words", "shape", "meta"))])
 
     def make():
         def work(batch):
+            texts = batch[1].to_pylist()
             meta = zip(*(batch[k].to_pylist() for k in (2, 3, 4)), strict=True)
-            return [batch[0], [text_features(t.as_py()) for t in batch[1]], [meta_features(*m) for m in meta]]
+            return [batch[0], [words_of(t).tobytes() for t in texts], [shape_of(t).tobytes() for t in texts],
+                    [meta_of(*m, bits).tobytes() for m in meta]]
         return work
 
     return map_batches(rows, schema, make)
 
 
-def _matrix(arrow, name: str) -> np.ndarray:
-    x = np.array(arrow[name].to_pylist(), float).reshape(arrow.num_rows, -1)
-    return np.column_stack([np.ones(len(x)), x])
+def _meta_bits(docs: DataFrame, lang_col: str, source_col: str) -> int:
+    """Bits for metadata tokens, from the number of different values."""
+    n = docs.agg(F.approx_count_distinct(F.struct(F.col(lang_col).cast("string"), F.col(source_col).cast("string")))).first()[0]
+    return min(max(META_BITS[0], math.ceil(math.log2(ROOM * max(n, 1)))), META_BITS[1])
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -98,70 +127,136 @@ def _known(labels: DataFrame) -> DataFrame:
             .where("id IS NOT NULL AND good IS NOT NULL").groupBy("id").agg(F.min("good").alias("good")))
 
 
-def co_train(rows: DataFrame, labels: DataFrame, held_out: Column, rounds: int = ROUNDS, max_docs: int = MAX_DOCS,
-             max_pool: int = MAX_POOL, confident: float = CONFIDENT):
-    """(content weights, metadata weights, combination): fitted on a sample of (id, content, meta)."""
-    known = _known(labels)
-    chance = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 20)) / float(1 << 20)
-    usable = known.where(~held_out)
-    n, pool_n = usable.count(), rows.count()
-    chosen = rows.join(usable.where(chance < max_docs / max(n, 1)), "id").select("content", "meta", "good", (chance * 997 % 1).alias("part")).toArrow()
-    y = chosen["good"].to_numpy().astype(float)
-    if len(set(y.tolist())) < 2:
-        return None, None, float(y.mean()) if len(y) else 0.5
-    fit = chosen["part"].to_numpy() < 0.75
-    if len(set(y[fit].tolist())) < 2 or len(set(y[~fit].tolist())) < 2:
-        fit = np.ones(len(y), bool)
-    pool = (rows.where(chance < max_pool / max(pool_n, 1)).join(known, "id", "left_anti")
-            .select("content", "meta").toArrow())
-    views = [(_matrix(chosen, v), _matrix(pool, v)) if pool.num_rows else (_matrix(chosen, v), np.empty((0, _matrix(chosen, v).shape[1])))
-             for v in ("content", "meta")]
-    extra = [(np.empty(0, np.int64), np.empty(0)) for _ in views]  # pool rows and pseudo-labels each model has been given
-    left = np.ones(pool.num_rows, bool)
-    models = [None, None]
-
-    def train(k):
-        x, p = views[k]
-        at, given = extra[k]
-        xs, ys = np.concatenate([x[fit], p[at]]), np.concatenate([y[fit], given])
-        return logistic(xs, ys, np.full(len(ys), 1.0 / len(ys)), ridge=1e-4)
-
-    for _ in range(rounds):
-        models = [train(0), train(1)]
-        sure = []
+class View:
+    """A view's weights per token, in parts whose mean weights are its evidence, and its calibration."""
+
+    def __init__(self, parts: list[np.ndarray]) -> None:
+        self.parts, self.calibration = parts, np.zeros(len(parts) + 1)
+
+    def evidence(self, tokens: list[np.ndarray]) -> list[float]:
+        return [float(w[t].mean()) if len(t) else 0.0 for w, t in zip(self.parts, tokens, strict=True)]
+
+    def calibrate(self, rows: list[list[np.ndarray]], good: np.ndarray) -> None:
+        self.calibration = logistic(self._design(rows), good, np.full(len(good), 1.0 / len(good)), ridge=1e-3)
+
+    def _design(self, rows: list[list[np.ndarray]]) -> np.ndarray:
+        return np.array([[1.0, *self.evidence(r)] for r in rows]).reshape(len(rows), -1)
+
+    def odds(self, rows: list[list[np.ndarray]]) -> np.ndarray:
+        return self._design(rows) @ self.calibration
+
+
+def weights(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Log ratio of the shares of good and of bad documents with a token, drawn to the share of all."""
+    share = (bad + good) / max(n_bad + n_good, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.log((good + SMOOTHING * share) / (n_good + SMOOTHING)) - np.log((bad + SMOOTHING * share) / (n_bad + SMOOTHING))
+    return np.where(bad + good > 0, ratio, 0.0)
+
+
+def _views(row: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    words, shape, meta = (np.frombuffer(row[c], "<u4") for c in ("words", "shape", "meta"))
+    return [words, shape], [meta]
+
+
+def _counted(rows: DataFrame, sizes: list[int], models: tuple[View, View] | None, confident: float) -> np.ndarray:
+    """Documents of either class with each token, and their number: labelled rows for both views, and, under
+    ``models``, unlabelled ones by the other view's label if that is sure. Shape (2 classes, all tokens and 2 totals)."""
+    spark, total, at = rows.sparkSession, sum(sizes), np.cumsum([0, *sizes])
+    shared = spark.sparkContext.broadcast(models)
+    limit = math.log(confident / (1 - confident))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, total + 2), np.int64)
+
+        def add(view: int, good: int, row: tuple) -> None:
+            parts = [at[0] + row[0][0], at[1] + row[0][1]] if view == 0 else [at[2] + row[1][0]]
+            for part in parts:
+                counts[good][np.unique(part)] += 1
+            counts[good][total + view] += 1
+
+        for batch in batches:
+            found = batch.to_pylist()
+            views = [_views(r) for r in found]
+            if shared.value:
+                odds = [shared.value[k].odds([v[k] for v in views]) for k in (0, 1)]
+            for k, (row, view) in enumerate(zip(found, views, strict=True)):
+                if row["part"] == FIT:
+                    add(0, row["good"], view)
+                    add(1, row["good"], view)
+                elif shared.value:
+                    for teacher in (0, 1):
+                        if abs(odds[teacher][k]) >= limit:
+                            add(1 - teacher, int(odds[teacher][k] > 0), view)
+        good, token = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(good.astype(np.int32)), pa.array(token.astype(np.int32)), pa.array(counts[good, token])],
+                                         ["good", "token", "n"])
+
+    schema = T.StructType([T.StructField("good", T.IntegerType()), T.StructField("token", T.IntegerType()), T.StructField("n", T.LongType())])
+    wanted = rows.where(F.col("part") == FIT) if models is None else rows.where(F.col("part").isin(FIT, POOL))
+    sums = map_arrow(wanted.select("words", "shape", "meta", "good", "part"), run, schema).groupBy("good", "token").agg(F.sum("n").alias("n"))
+    out = np.zeros((2, total + 2), np.int64)
+    arrow = sums.toArrow()  # a row per token and class
+    out[arrow["good"].to_numpy(), arrow["token"].to_numpy()] = arrow["n"].to_numpy()
+    return out
+
+
+def co_train(rows: DataFrame, bits: int, rounds: int = ROUNDS, max_docs: int = MAX_DOCS, confident: float = CONFIDENT):
+    """(content view, metadata view, combination) from (words, shape, meta, good, part); or the share of good rows."""
+    seen = {r["good"]: r["count"] for r in rows.where(F.col("part").isin(FIT, CHECK)).groupBy("good").count().collect()}
+    n = sum(seen.values())
+    if not (seen.get(0) and seen.get(1)):
+        return None, None, seen.get(1, 0) / n if n else 0.5
+    chance = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(1 << 20)) / float(1 << 20)
+
+    def sample(part: int) -> list[dict]:
+        return (rows.where(F.col("part") == part).where(chance < max_docs / max(n, 1)).orderBy("id", "words")
+                .select("words", "shape", "meta", "good").toArrow().to_pylist())
+
+    check = sample(CHECK)
+    if len({r["good"] for r in check}) < 2:  # too few labels to keep any for calibration
+        check = check + sample(FIT)
+    views = [_views(r) for r in check]
+    good = np.array([r["good"] for r in check], float)
+    if len(set(good.tolist())) < 2:
+        return None, None, seen.get(1, 0) / n
+    sizes = [1 << WORD_BITS, N_SHAPES * STEPS, 1 << bits]
+    at = np.cumsum([0, *sizes])
+    models = None
+    for _ in range(rounds + 1):
+        (bad, fine) = _counted(rows, sizes, models, confident)
+        parts = [weights(bad[at[k]:at[k + 1]], fine[at[k]:at[k + 1]], bad[at[3] + (k == 2)], fine[at[3] + (k == 2)]) for k in range(3)]
+        models = View(parts[:2]), View(parts[2:])
         for k in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(views[k][1] @ models[k], -30, 30)))
-            sure.append((np.flatnonzero(left & ((p >= confident) | (p <= 1 - confident))), p))
-        if not any(len(at) for at, _ in sure):
-            break
-        for k in (0, 1):  # what one view is sure of teaches the other
-            at, p = sure[k]
-            old = extra[1 - k]
-            extra[1 - k] = np.concatenate([old[0], at]), np.concatenate([old[1], (p[at] > 0.5).astype(float)])
-            left[at] = False
-    models = [train(0), train(1)]
-    check = ~fit if (~fit).any() else fit
-    odds = np.column_stack([np.ones(check.sum()), *(views[k][0][check] @ models[k] for k in (0, 1))])
-    combination = logistic(odds, y[check], np.full(check.sum(), 1.0 / check.sum()), ridge=1e-3)
-    return models[0], models[1], combination
+            models[k].calibrate([v[k] for v in views], good)
+    odds = np.column_stack([np.ones(len(good)), *(models[k].odds([v[k] for v in views]) for k in (0, 1))])
+    return *models, logistic(odds, good, np.full(len(good), 1.0 / len(good)), ridge=1e-3)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", **params) -> DataFrame:
     """One row per document: held_out, score (0 to 1, higher: good likelier), and each view's own log odds."""
-    rows = stage(features(docs, id_col, text_col, lang_col, source_col, size_col), f"quality-{uuid.uuid4().hex[:4]}")
+    bits = _meta_bits(docs, lang_col, source_col)
+    found = stage(tokens(docs, bits, id_col, text_col, lang_col, source_col, size_col), f"quality-{uuid.uuid4().hex[:4]}")
+    known = _known(labels).withColumnRenamed("id", "_known")
     held_out = hold_out(F.col("id"), 3, 1)
-    content, meta, combination = co_train(rows, labels, held_out, **params)
-    if content is None:
-        score = F.lit(combination)
-        parts = {"content_odds": F.lit(0.0), "meta_odds": F.lit(0.0)}
-    else:
-        def odds(name, w):
-            weights = F.array(*[F.lit(float(x)) for x in w[1:]])
-            return F.aggregate(F.zip_with(name, weights, lambda a, b: a * b), F.lit(float(w[0])), lambda s, x: s + x)
-        parts = {"content_odds": odds("content", content), "meta_odds": odds("meta", meta)}
-        b = [float(x) for x in combination]
-        score = 1 / (1 + F.exp(-(b[0] + b[1] * F.col("content_odds") + b[2] * F.col("meta_odds"))))
-    return (rows.withColumns(parts).withColumn("score", score)
-            .select(F.col("id").alias(id_col), held_out.alias("held_out"), "score",
-                    (F.col("score") >= 0.5).cast("int").alias("predicted"), "content_odds", "meta_odds"))
+    kept = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(4)) == 0
+    part = F.when(F.col("good").isNull(), POOL).when(held_out, OUT).when(kept, CHECK).otherwise(FIT)
+    rows = stage(found.join(known, found["id"] == known["_known"], "left").drop("_known").withColumn("part", part), "quality-parts")
+    content, meta, combination = co_train(rows, bits, **params)
+    shared = docs.sparkSession.sparkContext.broadcast((content, meta, combination))
+    schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("held_out", T.BooleanType()),
+                           *(T.StructField(c, T.DoubleType()) for c in ("score", "content_odds", "meta_odds"))])
+
+    def make():
+        def work(batch):
+            first, second, last = shared.value
+            if first is None:
+                return [batch[0], batch[1], *([x] * batch.num_rows for x in (last, 0.0, 0.0))]
+            views = [_views(r) for r in batch.select(["words", "shape", "meta"]).to_pylist()]
+            a, b = first.odds([v[0] for v in views]), second.odds([v[1] for v in views])
+            return [batch[0], batch[1], 1 / (1 + np.exp(-np.clip(last[0] + last[1] * a + last[2] * b, -500, 500))), a, b]
+        return work
+
+    scored = map_batches(rows.select("id", held_out.alias("held_out"), "words", "shape", "meta"), schema, make)
+    return scored.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "content_odds", "meta_odds")
