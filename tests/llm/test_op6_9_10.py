@@ -21,8 +21,9 @@ from .cases import DOCS, WHITE, documents, frame, lower, words
 def mixture(rows):
     """(id, size, source size, target, taken) by sorting all copies."""
     sizes, docs = defaultdict(int), []
-    for i, text, _, source, _ in rows:
-        docs.append((i, source, len(words(text)), hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()))
+    for k, (i, text, _, source, _) in enumerate(rows):
+        place = [hashlib.md5(("" if x is None else str(x)).encode()).hexdigest() for x in (i, text)]
+        docs.append((i, source, len(words(text)), "".join(place) + f"{k:06d}"))
         sizes[source] += docs[-1][2]
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: k % 3 + 1 for k, s in enumerate(order)}
@@ -62,6 +63,19 @@ def test_mix_matches_sorting_all_copies(spark):
     assert same(got, mixture(documents())[0])
 
 
+@pytest.mark.parametrize("texts", [["same"], ["one", "two words", "three words here"]])
+def test_rows_without_or_with_one_id_are_taken_one_by_one(spark, texts):
+    rows = [(None, texts[k % len(texts)], "en", "a", 1) for k in range(40)] + [(7, texts[k % len(texts)], "en", "b", 1) for k in range(80)]
+    rows += [(1000 + k, "w w w", "en", "c", 1) for k in range(80)]
+    got = [tuple(r) for r in mix(spark.createDataFrame(rows, DOCS)).select("doc_id", "size", "source_size", "target", "taken").collect()]
+    assert same(got, mixture(rows)[0])
+    per = defaultdict(lambda: [0, 0.0])
+    for _, _, source_size, target, taken in got:
+        per[source_size, target][0] += taken
+    assert all(abs(taken[0] - target) <= 9 for (_, target), taken in per.items())
+    assert take_mix(spark.createDataFrame(rows, DOCS)).count() == sum(t // s for _, s, _, _, t in got)
+
+
 def test_mix_on_even_documents_meets_the_targets(spark):
     rng = random.Random(3)
     rows = [(k, "w " * rng.randint(1, 9), "en", rng.choice("aaaaaab") + rng.choice("xyz"), 1) for k in range(900)]
