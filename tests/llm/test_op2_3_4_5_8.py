@@ -15,10 +15,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pvgrid.llm import lattice, planes, toxicity
+from pvgrid.llm import lattice, planes, toolcalls, toxicity
 from pvgrid.llm.quality import score_quality
 from pvgrid.llm.queries import PIECES, TOKENIZER, TOOLS
-from pvgrid.llm.toolcalls import levels, link_tool_calls
+from pvgrid.llm.toolcalls import levels, link_every_call
 
 from .cases import DOCS, documents, frame, prose, words
 
@@ -168,20 +168,48 @@ def test_tool_calls(spark):
              (None, "a", 1, None, None, None, 0)]
     results = [(1, "a", 2, "late", "x"), (1, "a", 1, "early", "x"), (1, "q", 4, "orphan", "x"), (2, "a", 2, None, "x"), (1, None, 1, "lost", "x")]
     schemas = spark.createDataFrame(list(TOOLS), "name string, param string, type string, required boolean")
-    rows = link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), schemas).collect()
-    got = {(r.conv_id, r.call_id): (r.level, r.state, r.n_calls, r.n_results, r.errors) for r in rows}
-    assert got == {
-        (1, "a"): (0, "answered", 1, 2, ""), (1, "b"): (1, "unanswered", 1, None, ""),
-        (1, "c"): (2, "unanswered", 1, None, "missing:query,type:limit"), (1, "d"): (0, "unanswered", 1, None, "unknown_tool,missing_call"),
-        (1, "e"): (-1, "circle", 1, None, "type:key,unknown:more"), (1, "f"): (-1, "circle", 1, None, "not_json"),
-        (1, "g"): (-1, "circle", 1, None, "not_json"), (1, None): (0, "unanswered", 1, None, ""),
-        (2, "a"): (0, "answered", 2, 1, ""), (None, "a"): (0, "unanswered", 1, None, "unknown_tool"),
-        (1, "q"): (None, "orphan_result", None, 1, None)}
-    texts = {(r.conv_id, r.call_id): r.canonical_json for r in rows}
+    rows = link_every_call(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), schemas).collect()
+    got = {(r.conv_id, r.call_id, r.turn, r.state): (r.level, r.n_calls, r.n_results, r.errors) for r in rows}
+    texts = {(r.conv_id, r.call_id, r.turn): r.canonical_json for r in rows}
+    assert len(got) == len(rows) and got == {
+        (1, "a", 1, "answered"): (0, 1, 1, ""), (1, "b", 3, "unanswered"): (1, 1, None, ""), (1, "a", None, "orphan_result"): (None, None, 1, None),
+        (1, "c", 5, "unanswered"): (2, 1, None, "missing:query,type:limit"), (1, "d", 6, "unanswered"): (0, 1, None, "unknown_tool,missing_call"),
+        (1, "e", 7, "circle"): (-1, 1, None, "type:key,unknown:more"), (1, "f", 8, "circle"): (-1, 1, None, "not_json"),
+        (1, "g", 9, "circle"): (-1, 1, None, "not_json"), (1, None, 2, "unanswered"): (0, 1, None, ""),
+        (2, "a", 0, "unanswered"): (0, 1, None, ""), (2, "a", 1, "answered"): (0, 1, 1, "not_json"),
+        (None, "a", 1, "unanswered"): (0, 1, None, "unknown_tool"), (1, "q", None, "orphan_result"): (None, None, 1, None),
+        (1, None, None, "orphan_result"): (None, None, 1, None)}
     for text in texts.values():
         assert text == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    assert json.loads(texts[1, "e"])["arguments"] == {"key": 1, "more": [1, {"a": None, "z": 1}]}
-    assert json.loads(texts[1, "a"])["result"] == "early" and json.loads(texts[2, "a"])["arguments"] == {"key": "first"}
+    assert json.loads(texts[1, "e", 7])["arguments"] == {"key": 1, "more": [1, {"a": None, "z": 1}]}
+    assert json.loads(texts[1, "a", 1])["result"] == "early" and json.loads(texts[2, "a", 0])["arguments"] == {"key": "first"}
+
+
+def test_schemas_of_several_types_and_numbers(spark):
+    schemas = [("t", "x", "integer", True), ("t", "x", "string", False), ("t", "n", "number", None), ("t", "n", "number", None),
+               ("t", None, "string", True), (None, "x", "string", True), ("t", "odd", "date", False), ("t", "z", None, None), ("t", "i", "integer", False)]
+    given = ['{"x": 1}', '{"x": "1"}', '{"x": true}', '{"n": 1e2}', '{"x": 3.0, "i": 3.00}', '{"x": 1, "i": 3.5}', '{"x": 1, "odd": "2020-01-01"}',
+             '{"x": 1, "z": 1}', '{"x": 12345678901234567890123456789012345678}', '{"x": 1, "n": 123456789012345678901234567890123456789012}',
+             '{"x": 1, "n": 0.1234567890123456789012345}', '{"x": "123456789012345678901234567890123456789012"}']
+    calls = spark.createDataFrame([(1, f"c{k}", k, "t", a, None, 0) for k, a in enumerate(given)], CALLS)
+    tools = spark.createDataFrame(schemas, "name string, param string, type string, required boolean")
+    rows = link_every_call(calls, spark.createDataFrame([], RESULTS), tools).collect()
+    got = {r.turn: (r.errors, r.canonical_json.split('"arguments":')[1].split(',"id"')[0]) for r in rows}
+    assert got == {
+        0: ("", '{"x":1}'), 1: ("", '{"x":"1"}'), 2: ("type:x", '{"x":true}'), 3: ("missing:x", '{"n":100.0}'), 4: ("", '{"i":3,"x":3}'),
+        5: ("type:i", '{"i":3.5,"x":1}'), 6: ("type:odd", '{"odd":"2020-01-01","x":1}'), 7: ("type:z", '{"x":1,"z":1}'),
+        8: ("", '{"x":12345678901234567890123456789012345678}'), 9: ("inexact:n", '{"n":1.2345678901234568E41,"x":1}'),
+        10: ("", '{"n":0.1234567890123456789012345,"x":1}'), 11: ("", '{"x":"123456789012345678901234567890123456789012"}')}
+
+
+def test_identifiers_used_once_are_hash_joined(spark):
+    calls = spark.createDataFrame([(1, f"c{k}", k, "t", "{}", f"c{k - 1}", 0) for k in range(20)], CALLS)
+    results = spark.createDataFrame([(1, f"c{k}", k + 1, "r", "") for k in range(0, 30, 2)], RESULTS)
+    plain = [f.select(*[c for c in f.columns if c not in ("level", "errors")]).withColumn("node", F.monotonically_increasing_id()) for f in (calls, results)]
+    links, needed = toolcalls._linked_once(*plain, plain[0].withColumn("call_id", F.col("depends_on")))
+    for joined in (links, needed):
+        assert "ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert links.count() == 10 and needed.count() == 19
 
 
 def test_levels_of_a_long_chain_and_no_calls(spark):
@@ -189,7 +217,7 @@ def test_levels_of_a_long_chain_and_no_calls(spark):
     chain = spark.createDataFrame([(1, f"c{k}", f"c{k - 1}" if k else None) for k in range(n)], "conv_id long, call_id string, depends_on string")
     assert {r.call_id: r.level for r in levels(chain).collect()} == {f"c{k}": k for k in range(n)}
     schemas = spark.createDataFrame([], "name string, param string, type string, required boolean")
-    assert link_tool_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), schemas).count() == 0
+    assert link_every_call(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), schemas).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
