@@ -131,7 +131,7 @@ SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS edp_site_id, CAST(5000 + s_nationkey
 FROM supplier WHERE s_acctbal >= 0
 """
 
-VIEWS["metered"] = "SELECT * FROM meta WHERE is_pv OR site_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)"
+VIEWS["metered"] = "SELECT * FROM meta WHERE is_pv OR site_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 4500)"
 
 VIEWS["locations"] = """
 SELECT c_custkey AS point_id, -40e0 + CAST(c_custkey * 37 % 400 AS DOUBLE) / 16e0 AS latitude,

@@ -131,10 +131,11 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metered_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fleet where sites in debt have no load circuit, so sites differ in their number of circuits."""
-    paying = in_credit(spark, sf_dir).withColumn("paying", F.lit(True))
+    """A fleet where only sites with a large account have a load circuit, so sites differ in their number of circuits."""
+    large = (table(spark, sf_dir, "supplier").where("s_acctbal >= 4500")
+             .select(F.col("s_suppkey").alias("site_id"), F.lit(True).alias("large")))
     rows = meta(spark, sf_dir)
-    return rows.join(paying, "site_id", "left").where("is_pv OR paying").select(*rows.columns)
+    return rows.join(large, "site_id", "left").where("is_pv OR large").select(*rows.columns)
 
 
 def in_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
