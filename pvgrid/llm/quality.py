@@ -25,7 +25,6 @@ repeat an id are scored each; other columns are not read.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ from pvgrid.llm.toxicity import logistic
 ROUNDS = 4
 MAX_DOCS = 4000
 CONFIDENT = 0.95
-WORD_BITS = 16
+WORD_BITS, WORD_TYPE = 16, "<u2"
 META_BITS = (10, 20)
 ROOM = 8
 STEPS = 16
@@ -79,14 +78,14 @@ def text_features(text: str | None) -> list[float]:
 def words_of(text: str | None) -> np.ndarray:
     """The different words of a text, hashed; ASCII capitals as small letters."""
     words = set((text or "").encode().lower().split())
-    return np.unique(np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) >> (32 - WORD_BITS)).astype("<u4")
+    return np.unique(np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) >> (32 - WORD_BITS)).astype(WORD_TYPE)
 
 
 def shape_of(text: str | None) -> np.ndarray:
     """The steps the features of a text's shape fall on, one for each."""
     x = np.array(text_features(text))
     steps = np.clip((x * STEPS).astype(np.int64), 0, STEPS - 1)
-    return (np.arange(len(x)) * STEPS + steps).astype("<u4")
+    return (np.arange(len(x)) * STEPS + steps).astype("<u2")
 
 
 N_SHAPES = N_KINDS + 7
@@ -100,7 +99,7 @@ def meta_of(lang: str | None, source: str | None, n_chars: int | None, bits: int
 
 
 def tokens(docs: DataFrame, bits: int, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str) -> DataFrame:
-    """(id, words, shape, meta) per document: tokens of 32 bits."""
+    """(id, words, shape, meta) per document: tokens of 16 bits, of metadata 32."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"), F.col(lang_col).cast("string"),
                        F.col(source_col).cast("string"), F.col(size_col).cast("long"))
     schema = T.StructType([rows.schema[0], *(T.StructField(c, T.BinaryType()) for c in ("words", "shape", "meta"))])
@@ -155,8 +154,8 @@ def weights(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.nd
 
 
 def _views(row: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    words, shape, meta = (np.frombuffer(row[c], "<u4") for c in ("words", "shape", "meta"))
-    return [words, shape], [meta]
+    words = np.frombuffer(row["words"], WORD_TYPE).astype(np.int64)
+    return [words, np.frombuffer(row["shape"], "<u2").astype(np.int64)], [np.frombuffer(row["meta"], "<u4").astype(np.int64)]
 
 
 def _counted(rows: DataFrame, sizes: list[int], models: tuple[View, View] | None, confident: float) -> np.ndarray:
@@ -169,10 +168,9 @@ def _counted(rows: DataFrame, sizes: list[int], models: tuple[View, View] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, total + 2), np.int64)
 
-        def add(view: int, good: int, row: tuple) -> None:
-            parts = [at[0] + row[0][0], at[1] + row[0][1]] if view == 0 else [at[2] + row[1][0]]
-            for part in parts:
-                counts[good][np.unique(part)] += 1
+        def add(view: int, good: int, row: tuple) -> None:  # tokens of one view are different, but for metadata that clash
+            for part in [at[0] + row[0][0], at[1] + row[0][1]] if view == 0 else [at[2] + np.unique(row[1][0])]:
+                counts[good][part] += 1
             counts[good][total + view] += 1
 
         for batch in batches:
@@ -237,12 +235,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", **params) -> DataFrame:
     """One row per document: held_out, score (0 to 1, higher: good likelier), and each view's own log odds."""
     bits = _meta_bits(docs, lang_col, source_col)
-    found = stage(tokens(docs, bits, id_col, text_col, lang_col, source_col, size_col), f"quality-{uuid.uuid4().hex[:4]}")
-    known = _known(labels).withColumnRenamed("id", "_known")
+    found = tokens(docs, bits, id_col, text_col, lang_col, source_col, size_col)
+    known = stage(_known(labels).withColumnRenamed("id", "_known"), "labels")  # so that Spark can split a frequent id, as null is
     held_out = hold_out(F.col("id"), 3, 1)
     kept = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(4)) == 0
     part = F.when(F.col("good").isNull(), POOL).when(held_out, OUT).when(kept, CHECK).otherwise(FIT)
-    rows = stage(found.join(known, found["id"] == known["_known"], "left").drop("_known").withColumn("part", part), "quality-parts")
+    rows = stage(found.join(known, found["id"] == known["_known"], "left").drop("_known").withColumn("part", part), "quality")
     content, meta, combination = co_train(rows, bits, **params)
     shared = docs.sparkSession.sparkContext.broadcast((content, meta, combination))
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("held_out", T.BooleanType()),
