@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from typing import TypeVar
 
 from pyspark.sql import DataFrame
 
 from pvgrid.operators import estimator
 from pvgrid.operators.site import site_power
-from pvgrid.session import stage, stage_bucketed
+from pvgrid.session import path_exists, stage, stage_bucketed, staged_paths
+
+T = TypeVar("T")
 
 
 @dataclass
@@ -75,20 +78,35 @@ class HandOff:
     def __init__(self, ts: DataFrame, meta: DataFrame, eligible: Callable[[], DataFrame],
                  structured: Callable[[DataFrame], DataFrame]) -> None:
         self._ts, self._meta, self._eligible, self._structured = ts, meta, eligible, structured
+        self._paths: list[str] = []
+
+    def _stored(self, make: Callable[[], T]) -> T:
+        """``make()``, with a note of where it stages its tables."""
+        before = len(staged_paths(self._ts.sparkSession))
+        made = make()
+        self._paths += staged_paths(self._ts.sparkSession)[before:]
+        return made
+
+    def intact(self) -> bool:
+        """Whether nobody has deleted what was stored."""
+        return all(path_exists(self._ts.sparkSession, path) for path in self._paths)
 
     @cached_property
     def site(self) -> SiteRows:
-        return site_rows(self._ts, self._meta)
+        return self._stored(lambda: site_rows(self._ts, self._meta))
 
     @cached_property
     def chain(self) -> Fitted:
         """The fitted chain; from the stored site rows if there are any, so that readings are scanned once."""
-        return fit(self._structured(self.site.eligible if "site" in vars(self) else self._eligible()))
+        rows = self.site.eligible if "site" in vars(self) else self._eligible()
+        return self._stored(lambda: fit(self._structured(rows)))
 
     @cached_property
     def all_uncurtailed(self) -> DataFrame:
-        return stage_bucketed(self.chain.all_uncurtailed(), "all_uncurtailed", READING)
+        chain = self.chain
+        return self._stored(lambda: stage_bucketed(chain.all_uncurtailed(), "all_uncurtailed", READING))
 
     @cached_property
     def voltwatt_uncurtailed(self) -> DataFrame:
-        return stage_bucketed(self.chain.voltwatt_uncurtailed(), "voltwatt_uncurtailed", READING)
+        chain = self.chain
+        return self._stored(lambda: stage_bucketed(chain.voltwatt_uncurtailed(), "voltwatt_uncurtailed", READING))

@@ -14,7 +14,7 @@ from pvgrid.plans.conformance_queries import (BANDS, BASE, DEVIATION, FLEX_ROWS,
                                               voltvar_sql)
 from pvgrid.plans.registry import register
 from pvgrid.plans.sql_views import local_day, npos, q6, site, tod, with_views, xavg, xsum
-from pvgrid.session import kept, stage
+from pvgrid.session import forget, kept, stage
 
 SOLAR_BASE = (*BASE, "solar")
 CELLS = ("cells", "SELECT DISTINCT site_id, n_lat AS latitude, n_long AS longitude FROM meta "
@@ -246,9 +246,15 @@ FIT = (*SKY, eligible("el", "train"), eligible("free", "split"), split_sql("free
 
 def hand_off(spark, sf_dir) -> HandOff:
     """The stored tables of the chain, shared by the reports of an application until they are released."""
-    return kept(spark, ("chain", sf_dir), lambda: HandOff(
-        views.ts(spark, sf_dir), views.meta(spark, sf_dir), lambda: eligible_site(spark, sf_dir),
-        lambda rows: clearsky.structured_data(rows, grid(spark, sf_dir))))
+    def make() -> HandOff:
+        return HandOff(views.ts(spark, sf_dir), views.meta(spark, sf_dir), lambda: eligible_site(spark, sf_dir),
+                       lambda rows: clearsky.structured_data(rows, grid(spark, sf_dir)))
+
+    store = kept(spark, ("chain", sf_dir), make)
+    if not store.intact():
+        forget(spark, ("chain", sf_dir))
+        store = kept(spark, ("chain", sf_dir), make)
+    return store
 
 
 def fitted(spark, sf_dir) -> Fitted:

@@ -129,6 +129,21 @@ def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], object])
     return _kept[key]
 
 
+def forget(spark: SparkSession, key: tuple[str, ...]) -> None:
+    """Have :func:`kept` make a value anew."""
+    _kept.pop((spark.sparkContext.applicationId, *key), None)
+
+
+def staged_paths(spark: SparkSession) -> list[str]:
+    """Where this application has staged tables, in the order of their making."""
+    return [path for owner, path in _staged if owner == spark.sparkContext.applicationId]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables this application has staged; returns how many there were.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 from compare import connect, difference
 from pvgrid.plans.estimator_queries import hand_off
 from pvgrid.plans.queries import QUERIES, SQL
@@ -42,3 +44,13 @@ def test_a_large_site_fills_no_bucket(spark):
     sizes = [r["count"] for r in table.selectExpr("_metadata.file_path AS f").groupBy("f").count().collect()]
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1.2 * 30_000 / len(sizes)
     release(spark)
+
+
+def test_tables_somebody_deleted_are_made_again(spark, sf_dir):
+    release(spark)
+    duck, name = connect(sf_dir), "estimates_below_measured"
+    first = hand_off(spark, sf_dir)
+    assert difference(QUERIES[name](spark, sf_dir), duck, SQL[name]) is None and hand_off(spark, sf_dir) is first
+    shutil.rmtree(first._paths[-1])
+    assert difference(QUERIES[name](spark, sf_dir), duck, SQL[name]) is None and hand_off(spark, sf_dir) is not first
+    release(spark)
