@@ -35,7 +35,11 @@ from pvgrid.session import staged_path
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Documents of a batch, and the least number of batches.
+BATCH_DOCS = 50_000_000
 BATCHES = 4
+#: Hashes of a bucket of a run, about.
+BUCKET_ROWS = 4_000_000
 FAN_OUT = 3
 MAX_LOOKUP = 200_000
 
@@ -73,7 +77,7 @@ class LevelledRuns:
     def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT, buckets: int | None = None):
         self.spark = spark
         self.fan_out = fan_out
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))  # of all runs, so that they join without a shuffle
         self.levels: list[list[str]] = [[]]
         self.recurrences: list[DataFrame] = []
         self.names: list[str] = []
@@ -135,13 +139,16 @@ class LevelledRuns:
 def repeated_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES,
                    fan_out: int = FAN_OUT) -> DataFrame:
     """(hi, lo, docs, last) of repeated lines, from (id, hi, lo, batch) read batch by batch."""
-    runs = LevelledRuns(hashes.sparkSession, fan_out)
-    for k in range(batches):
-        runs.add(hashes.where(F.col("batch") == k).groupBy("hi", "lo")
-                 .agg(F.count("*").alias("docs"), F.max("id").alias("last")))
-    found = stage(runs.totals(min_docs), "repeated-lines")
-    runs.close()
-    return found
+    spark = hashes.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = LevelledRuns(spark, fan_out, max(least, -(-hashes.count() // BUCKET_ROWS)))
+    try:
+        for k in range(batches):
+            runs.add(hashes.where(F.col("batch") == k).groupBy("hi", "lo")
+                     .agg(F.count("*").alias("docs"), F.max("id").alias("last")))
+        return stage(runs.totals(min_docs), "repeated-lines")
+    finally:
+        runs.close()
 
 
 def _rewrite(text: str | None, keep) -> tuple[int, int, str]:
@@ -159,10 +166,11 @@ def _lookup(key: str, rows) -> dict:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
+                        min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None,
                         fan_out: int = FAN_OUT, max_lookup: int = MAX_LOOKUP) -> DataFrame:
     """One row per document: n_lines, n_dropped, kept_sha256 and the text that is left."""
     spark = docs.sparkSession
+    batches = batches or max(BATCHES, -(-docs.count() // BATCH_DOCS))
     of_batch = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")
     path = staged_path(spark, "line-hashes")
     line_hashes(docs, id_col, text_col, min_chars).withColumn("batch", of_batch).write.partitionBy("batch").parquet(path)
