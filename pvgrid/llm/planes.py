@@ -47,7 +47,7 @@ END = 0
 CHUNK_IDS = 1 << 20
 BLOCK_IDS = 1 << 16
 #: Bytes of memory for remembered parts in a Python worker, and what one takes besides its characters and ids.
-MEMO = 96 << 20
+MEMO = 160 << 20
 MEMO_ENTRY = 200
 #: The memory is begun anew after one unknown part for so many of its bytes.
 RENEW = 32
