@@ -49,7 +49,7 @@ def circuit_readings(ts: DataFrame, meta: DataFrame, columns: tuple[str, ...], *
 def site_power(ts: DataFrame, meta: DataFrame, *, v_lo: float | None = 0, v_hi: float | None = 300,
                inclusive: bool = False, v_agg: str = "avg", capacity: str = "max",
                cell: bool = False, scrub_after: tuple[float, float] | None = None,
-               pv_only: bool = True, meta_pv_only: bool = True) -> DataFrame:
+               pv_only: bool = True, meta_pv_only: bool = True, tasks: int | None = None) -> DataFrame:
     """Site totals per time stamp: P_kW, Q_kvar, V, ac_capacity_kw, S_99.
 
     v_agg       "avg" or "max" of the circuit voltages
@@ -58,10 +58,14 @@ def site_power(ts: DataFrame, meta: DataFrame, *, v_lo: float | None = 0, v_hi:
     cell        keep the grid cell of the site as latitude and longitude, so that later
                 joins with the grid need no further look-up by site
     scrub_after bounds tested on the aggregated voltage instead of on readings
+    tasks       deal the readings by site and time to so many tasks first, instead of combining them
+                before the shuffle; the result is dealt the same way
 
     Totals are exact to 1e-6 W. The shuffle key is (site, time), so a site holding a
     large share of the readings is spread over all tasks and combined before the
-    shuffle.
+    shuffle. Few readings share a site and time, so combining first keeps nearly as many
+    groups as readings in memory, of as much input as a task reads; with ``tasks`` a task
+    holds the groups of its own share only.
     """
     where = ("n_lat", "n_long") if cell else ()
     rows = circuit_readings(ts, meta, ("ac_capacity_kw", "S_99", *where), v_lo=v_lo, v_hi=v_hi,
@@ -83,6 +87,8 @@ def site_power(ts: DataFrame, meta: DataFrame, *, v_lo: float | None = 0, v_hi:
     elif capacity == "avg":
         aggs.append(exact_avg(F.col("ac_capacity_kw")).alias("ac_capacity_kw"))
     aggs.append(F.max("S_99").alias("S_99"))
+    if tasks:
+        rows = rows.repartition(tasks, "site_id", "t_stamp")
     out = rows.groupBy(*keys, *place).agg(*aggs)
     if scrub_after is not None:
         out = out.where(F.col("V").between(*scrub_after))

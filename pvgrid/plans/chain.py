@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from pvgrid.operators import estimator
 from pvgrid.operators.site import site_power
-from pvgrid.session import path_exists, stage, stage_bucketed, staged_paths
+from pvgrid.session import buckets_for, path_exists, stage, stage_bucketed, staged_paths
 
 T = TypeVar("T")
 
@@ -47,22 +47,30 @@ class SiteRows:
     eligible: DataFrame
 
 
-def site_rows(ts: DataFrame, meta: DataFrame) -> SiteRows:
-    """Aggregate the readings once for the reports and for the estimator, which skips flexible-export sites."""
-    rows = stage_bucketed(site_power(ts, meta, cell=True), "site_rows", READING)
+def site_rows(ts: DataFrame, meta: DataFrame, buckets: int) -> SiteRows:
+    """Aggregate the readings once for the reports and for the estimator, which skips flexible-export sites.
+
+    The readings are dealt to tasks as the rows are to buckets, so that one shuffle serves both.
+    """
+    rows = stage_bucketed(site_power(ts, meta, cell=True, tasks=buckets), "site_rows", READING, buckets=buckets)
     wanted = meta.where("is_pv AND NOT flex_export_detected").select("site_id").distinct()
     return SiteRows(rows.drop("latitude", "longitude"), rows.join(wanted, "site_id", "left_semi"))
 
 
+#: What the chain reads of structured rows, and of training rows; other columns would only be shuffled and stored.
+STRUCTURED = ("site_id", "t_stamp", "actual_day", "V", "P_kw_norm", "S_norm", "GHI", "P_kw_norm_cs", "GHI_cs", "S_99")
+LABELLED = ("site_id", "t_stamp", "actual_day", "V", "P_kw_norm", "S_norm", "P_kw_norm_cs", "S_99", "tod_bin", "x", "y")
+
+
 def fit(structured: DataFrame, fraction: float = 0.8, seed: int = 0) -> Fitted:
     """Split days, label the rows and fit the model; each table later steps read is staged.
 
     The days are those of all unconstrained rows, also of days without a row that may
     train; the training rows take their day's label.
     """
-    table = stage(structured, "structured")
+    table = stage(structured.select(*STRUCTURED), "structured")
     days = estimator.split_days(estimator.eligible_rows(table, "split"), fraction, seed)
-    rows = estimator.eligible_rows(table, "train")
+    rows = estimator.eligible_rows(table, "train").select(*LABELLED)
     labelled = stage(rows.join(days, ["site_id", "actual_day"]), "labelled")
     model = stage(estimator.fit_ghi_norm_model(labelled.where("day_type = 'train'")), "model")
     return Fitted(table, labelled, model)
@@ -80,6 +88,11 @@ class HandOff:
         self._ts, self._meta, self._eligible, self._structured = ts, meta, eligible, structured
         self._paths: list[str] = []
 
+    @cached_property
+    def buckets(self) -> int:
+        """Of all stored tables, so that they join without a shuffle."""
+        return buckets_for(self._ts)
+
     def _stored(self, make: Callable[[], T]) -> T:
         """``make()``, with a note of where it stages its tables."""
         before = len(staged_paths(self._ts.sparkSession))
@@ -93,7 +106,7 @@ class HandOff:
 
     @cached_property
     def site(self) -> SiteRows:
-        return self._stored(lambda: site_rows(self._ts, self._meta))
+        return self._stored(lambda: site_rows(self._ts, self._meta, self.buckets))
 
     @cached_property
     def chain(self) -> Fitted:
@@ -104,9 +117,10 @@ class HandOff:
     @cached_property
     def all_uncurtailed(self) -> DataFrame:
         chain = self.chain
-        return self._stored(lambda: stage_bucketed(chain.all_uncurtailed(), "all_uncurtailed", READING))
+        return self._stored(lambda: stage_bucketed(chain.all_uncurtailed(), "all_uncurtailed", READING, buckets=self.buckets))
 
     @cached_property
     def voltwatt_uncurtailed(self) -> DataFrame:
         chain = self.chain
-        return self._stored(lambda: stage_bucketed(chain.voltwatt_uncurtailed(), "voltwatt_uncurtailed", READING))
+        return self._stored(lambda: stage_bucketed(chain.voltwatt_uncurtailed(), "voltwatt_uncurtailed", READING,
+                                                   buckets=self.buckets))

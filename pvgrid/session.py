@@ -107,14 +107,32 @@ def staged_name(spark: SparkSession, name: str) -> str:
     return table
 
 
-def stage_bucketed(df: DataFrame, name: str, keys: Sequence[str], root: str | None = None) -> DataFrame:
+#: Megabytes of rows, by the optimiser's estimate, that one task should combine or sort in memory.
+TASK_MB = 32
+#: Estimates beyond this (in bytes) only say that the size is unknown.
+UNKNOWN_SIZE = 1 << 50
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks ``df``'s rows should be dealt to, so that a task's share doesn't grow with the input; one per core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = size // (TASK_MB << 20) + 1 if size < UNKNOWN_SIZE else 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, wanted)
+
+
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets ``df``'s rows should be dealt to: the session's shuffle partitions, more where the input needs more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks_for(df))
+
+
+def stage_bucketed(df: DataFrame, name: str, keys: Sequence[str], root: str | None = None, buckets: int | None = None) -> DataFrame:
     """Like :func:`stage`, dealt to buckets by ``keys`` and sorted by them.
 
-    Joins of tables staged with the same keys, on all of them, need no shuffle. There are as many buckets as the
-    session has shuffle partitions, each written by one task.
+    Joins of tables staged with the same keys and number of buckets, on all keys, need no shuffle. There are as many
+    buckets as the session has shuffle partitions unless ``buckets`` says otherwise, each written by one task.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = staged_name(spark, name)
     (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", staged_path(spark, name, root)).saveAsTable(table))
