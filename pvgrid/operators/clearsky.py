@@ -162,12 +162,16 @@ def structured_data(site: DataFrame, grid: DataFrame, max_days: int = 45) -> Dat
 
     ``site`` are site rows of the eligible sites with their cell, ``grid`` the rows of
     :func:`grid_of_sites`. They meet in one join by cell and time; the joined rows are staged, because both the clear-sky
-    profile and the actual rows read them.
+    profile and the actual rows read them. The grid and what follows from it are staged before, so that their size is
+    known when the much larger site rows meet them: these are shuffled only if the grid is too large for a broadcast.
     """
+    grid = stage(grid, "grid")
+    held = stage(held_with_clear_day(grid), "held")
+    clear = stage(clear_sky_days(grid), "clear-days")
     columns = ("site_id", "t_stamp", *CELL, "V", "Q_kvar_norm", "P_kw_norm", "S_norm", "S_99")
-    lit = with_irradiance(normalise(site).select(*columns), held_with_clear_day(grid))
+    lit = with_irradiance(normalise(site).select(*columns), held)
     rows = stage(lit, "lit-rows")
-    profile = clear_sky_profile(rows, clear_sky_days(grid))
+    profile = clear_sky_profile(rows, clear)
     t = F.col("t_stamp")
     actual = rows.where(F.col("lit") & (F.abs(F.datediff("cs_day", "actual_day")) < max_days))
     actual = actual.withColumns({"actual_tod": tod_bin(t), "cs_tod": tod_bin(t)})

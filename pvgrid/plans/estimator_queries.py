@@ -14,7 +14,7 @@ from pvgrid.plans.conformance_queries import (BANDS, BASE, DEVIATION, FLEX_ROWS,
                                               voltvar_sql)
 from pvgrid.plans.registry import register
 from pvgrid.plans.sql_views import local_day, npos, q6, site, tod, with_views, xavg, xsum
-from pvgrid.session import forget, kept, stage
+from pvgrid.session import forget, kept, stage, tasks_for
 
 SOLAR_BASE = (*BASE, "solar")
 CELLS = ("cells", "SELECT DISTINCT site_id, n_lat AS latitude, n_long AS longitude FROM meta "
@@ -67,7 +67,8 @@ def grid(spark, sf_dir) -> DataFrame:
 
 
 def eligible_site(spark, sf_dir) -> DataFrame:
-    return site_power(views.ts(spark, sf_dir), eligible_meta(spark, sf_dir), cell=True)
+    readings = views.ts(spark, sf_dir)
+    return site_power(readings, eligible_meta(spark, sf_dir), cell=True, tasks=tasks_for(readings))
 
 
 def structured(spark, sf_dir) -> DataFrame:
