@@ -23,6 +23,10 @@ RUNTIME = {
     "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
+#: Least number of tasks that list folders; four a core where there are more cores. Spark would start one for every folder,
+#: up to 10 000, and each unpacks the Hadoop settings before it lists anything.
+LISTING_TASKS = 64
+
 # Settings only a new session can take: plan building without a stack trace per column.
 AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
@@ -48,6 +52,8 @@ def prepare(spark: SparkSession, scratch: str | None = None) -> SparkSession:
     """
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism",
+                   str(max(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism)))
     if scratch:
         spark.conf.set("spark.checkpoint.dir", scratch)
     elif not _shared_folder(spark) and spark.sparkContext.master.startswith("local["):

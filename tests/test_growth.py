@@ -8,7 +8,8 @@ import re
 from pvgrid.operators import clearsky
 from pvgrid.operators.site import site_power
 from pvgrid.plans import chain, estimator_queries, views
-from pvgrid.session import buckets_for, release, stage_bucketed, tasks_for
+from pvgrid.session import LISTING_TASKS, buckets_for, release, stage_bucketed, tasks_for
+from pvgrid.sources.edp import EDP_SCHEMA, read_edp
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 1, 1)
@@ -88,3 +89,18 @@ def test_estimator_readings_are_dealt_by_site_and_time(spark, sf_dir):
     rows = estimator_queries.eligible_site(spark, sf_dir)
     assert rows.rdd.getNumPartitions() == tasks_for(views.ts(spark, sf_dir))
     assert rows.groupBy("site_id", "t_stamp").count().where(F.col("count") > 1).count() == 0
+
+
+def test_listing_many_folders_takes_few_tasks(spark, tmp_path):
+    most = max(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism)
+    header = ",".join(c.split()[0] for c in EDP_SCHEMA.split(", "))
+    for i in range(most + 40):
+        (tmp_path / f"file=S{i}").mkdir()
+        (tmp_path / f"file=S{i}" / "part.csv").write_text(f"{header}\nS{i},C0,D0,pv_site_net,2024-01-01T00:00:00Z{',1.0' * 8}\n")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    rows = read_edp(spark, f"{tmp_path}/file=*")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= most
+    assert rows.select("edp_site_id").distinct().count() == most + 40
